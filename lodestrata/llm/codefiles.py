@@ -87,7 +87,7 @@ def text_mark(text: Column, long_line: int = 400, packed_share: float = 0.12, di
     ``long_line`` characters on average and next to no blanks (below ``packed_share``). Data are runs of
     encoded bytes, or text of which ``digit_share`` are digits. A null or empty text has no mark.
     """
-    head = F.regexp_extract(text, r"\A﻿?(?:[^\S\n]*(?:#|//|/\*|\*|--|<!--|;|%)[^\n]*(?:\n|\z)){1,4}", 0)
+    head = F.regexp_extract(text, r"\A\x{feff}?(?:[^\S\n]*(?:#|//|/\*|\*|--|<!--|;|%)[^\n]*(?:\n|\z)){1,4}", 0)
     size = F.length(text)
     lines = F.length(F.regexp_replace(text, r"[^\n]+", "")) + 1
     digits = F.length(F.regexp_replace(text, r"[^0-9]+", ""))

@@ -10,7 +10,10 @@ from ..tables import table
 from .codefiles import classify_files
 from .distinctive import term_scores, top_term, words
 from .docpairs import pair_source, pair_symbols
+from .encode import encode_corpus, token_counts
 from .fusion import best_per_query, ranks, reciprocal_rank_fusion
+from .lookalike import canonical_texts, same_looking_pairs
+from .mixture import mix, mix_report
 from .quantiles import measured, multi_select
 
 REGISTRY = Registry()
@@ -140,7 +143,54 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_term(term_scores(_terms(spark, sf_dir), probes)).select(F.col("id").alias("symbol_id"), "term")
 
 
-@REGISTRY.query("p7_terms", _KL + "SELECT id AS symbol_id, term, tf, df, round(p * ln(p / q), 9) AS score FROM p")
+@REGISTRY.query("p7_terms", _KL + "SELECT id AS symbol_id, term, tf, df, round(round(p * ln(p / q), 12), 6) AS score FROM p")
 def p7_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of all symbols with their scores."""
-    return term_scores(_terms(spark, sf_dir)).select(F.col("id").alias("symbol_id"), "term", "tf", "df", F.round("score", 9).alias("score"))
+    return term_scores(_terms(spark, sf_dir)).select(F.col("id").alias("symbol_id"), "term", "tf", "df", F.round("score", 6).alias("score"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text").distinct()
+
+
+@REGISTRY.query("p8_ids")
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return encode_corpus(_documents(spark, sf_dir))
+
+
+@REGISTRY.query("p8_counts")
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of tokens of every document."""
+    return token_counts(_documents(spark, sf_dir))
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text").distinct()
+    return token_counts(docs, keep=["source"])
+
+
+@REGISTRY.query("p9_mix")
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix, each copy with the slot of the schedule that it falls into."""
+    return mix(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets")).select("doc_id", "source", "copy", "slot", "n_tokens")
+
+
+@REGISTRY.query("p9_report")
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share and repeats of every source of the mix."""
+    targets = table(spark, sf_dir, "mix_targets")
+    sized = _sized(spark, sf_dir)
+    return mix_report(mix(sized, targets), targets)
+
+
+@REGISTRY.query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents that look the same but differ in their characters."""
+    return same_looking_pairs(canonical_texts(_documents(spark, sf_dir)))
+
+
+@REGISTRY.query("p10_canonical")
+def p10_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The one consistent form of every text."""
+    return canonical_texts(_documents(spark, sf_dir)).select("doc_id", "canonical")

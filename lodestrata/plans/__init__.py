@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general
+from . import general, ranking
 from .registry import Registry
 
 
 def registries() -> list[Registry]:
-    return [general.REGISTRY]
+    return [ranking.REGISTRY, general.REGISTRY]

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general, ranking
+from . import general, graphs, ranking
 from .registry import Registry
 
 
 def registries() -> list[Registry]:
-    return [ranking.REGISTRY, general.REGISTRY]
+    return [ranking.REGISTRY, graphs.REGISTRY, general.REGISTRY]

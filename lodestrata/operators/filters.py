@@ -25,8 +25,8 @@ def criterion(column: str | Sequence[str], kind: str, op: str, value: Any) -> Co
         x = F.coalesce(F.col(column), F.lit(0))
         return {"==": x == value, ">": x > value, ">=": x >= value, "<": x < value, "<=": x <= value, "!=": x != value}[_NUMERIC[op]]
     if kind == "list":
-        tests = [F.exists(F.coalesce(column, F.array().cast("array<string>")), lambda e, n=n: F.contains(F.lower(e), F.lit(n.lower()))) for n in many]
-        return F.coalesce(reduce(Column.__or__, tests), F.lit(False))
+        holds = lambda e: reduce(Column.__or__, (F.contains(F.lower(e), F.lit(n.lower())) for n in many))
+        return F.coalesce(F.exists(F.coalesce(column, F.array().cast("array<string>")), holds), F.lit(False))
     if kind == "prose":
         text = F.lower(F.concat_ws(" ", *([column] if isinstance(column, str) else column)))
         return F.contains(text, F.lit(str(value).lower()))

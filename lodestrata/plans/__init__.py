@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import general, graphs, ranking
+from . import code, general, graphs, ranking, reports
 from .registry import Registry
 
 
 def registries() -> list[Registry]:
-    return [ranking.REGISTRY, graphs.REGISTRY, general.REGISTRY]
+    return [ranking.REGISTRY, graphs.REGISTRY, code.REGISTRY, reports.REGISTRY, general.REGISTRY]

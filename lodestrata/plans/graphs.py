@@ -67,22 +67,22 @@ def graph_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.bfs(flow(spark, sf_dir), nations(spark, sf_dir).where("id = 3"), 3)
 
 
-@REGISTRY.query("graph_blast_radius", _BFS.format(seed=8, of="dst", to="src", depth=4))
+@REGISTRY.query("graph_blast_radius", _BFS.format(seed=11, of="dst", to="src", depth=4))
 def graph_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What depends on a node, by depth."""
-    return G.bfs(G.invert(flow(spark, sf_dir)), nations(spark, sf_dir).where("id = 8"), 4)
+    return G.bfs(G.invert(flow(spark, sf_dir)), nations(spark, sf_dir).where("id = 11"), 4)
 
 
 @REGISTRY.query(
     "graph_impact_paths",
     _FLOW + """, b(id, level, path) AS (
-  SELECT id, 0, [id] FROM n WHERE id = 8 UNION ALL SELECT e.src, b.level + 1, list_append(b.path, e.src) FROM b JOIN e ON e.dst = b.id WHERE b.level < 5 AND NOT list_contains(b.path, e.src)),
+  SELECT id, 0, [id] FROM n WHERE id = 11 UNION ALL SELECT e.src, b.level + 1, list_append(b.path, e.src) FROM b JOIN e ON e.dst = b.id WHERE b.level < 5 AND NOT list_contains(b.path, e.src)),
 m AS (SELECT id, min(level) AS level FROM b GROUP BY id)
 SELECT b.id, b.level::INTEGER AS level, array_to_string(min(path), '>') AS path FROM b JOIN m ON b.id = m.id AND b.level = m.level GROUP BY ALL""",
 )
 def graph_impact_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What depends on a node, each with its smallest shortest path."""
-    found = G.bfs(G.invert(flow(spark, sf_dir)), nations(spark, sf_dir).where("id = 8"), 5, carry=True)
+    found = G.bfs(G.invert(flow(spark, sf_dir)), nations(spark, sf_dir).where("id = 11"), 5, carry=True)
     return found.select("id", "level", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
@@ -230,13 +230,13 @@ def pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query(
     "class_hierarchy",
     """WITH RECURSIVE c AS (SELECT DISTINCT id, parent FROM symbols WHERE lower(kind) IN ('class', 'type')),
-e AS (SELECT a.id AS src, b.id AS dst FROM c a JOIN c b ON a.parent = b.id WHERE a.id <> b.id), r AS (SELECT dst AS id FROM e GROUP BY dst HAVING count(DISTINCT src) >= 4),
+e AS (SELECT a.id AS src, b.id AS dst FROM c a JOIN c b ON a.parent = b.id WHERE a.id <> b.id), r AS (SELECT dst AS id FROM e GROUP BY dst HAVING count(DISTINCT src) >= 2),
 w(seed, id, level) AS (SELECT id, id, 0 FROM r UNION ALL SELECT w.seed, e.src, w.level + 1 FROM w JOIN e ON e.dst = w.id WHERE w.level < 5)
 SELECT seed, id, min(level)::INTEGER AS level FROM w GROUP BY ALL""",
 )
 def class_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What lies within five levels below each class that has four or more classes right below."""
+    """What lies within five levels below each class that has two or more classes right below."""
     c = table(spark, sf_dir, "symbols").where(F.lower("kind").isin("class", "type")).select("id", "parent").distinct()
     e = G.simple_edges(c.select(F.col("parent").alias("src"), F.col("id").alias("dst")).join(c.select(F.col("id").alias("src")), "src", "left_semi"))
-    wide = e.groupBy("src").agg(F.count("*").alias("n")).where("n >= 4").select(F.col("src").alias("id"))
+    wide = e.groupBy("src").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("src").alias("id"))
     return G.bfs(e, wide, 5)

@@ -64,4 +64,4 @@ def reciprocal_rank_fusion(df: DataFrame, query: str, item: str, scores: str, k:
 
 def best_per_query(fused: DataFrame, query: str, item: str) -> DataFrame:
     """query, item: the candidate with the highest fused score; on a tie the one with the smallest id."""
-    return fused.groupBy(query).agg(F.min(F.struct((-F.col("fused")).alias("s"), F.col(item))).alias("m")).select(query, F.col(f"m.{item}").alias(item))
+    return fused.groupBy(query).agg(F.min(F.struct((-F.col("fused")).alias("__s"), F.col(item))).alias("__m")).select(query, F.col(f"__m.{item}").alias(item))

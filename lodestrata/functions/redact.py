@@ -14,7 +14,8 @@ PATTERNS = (
     ("json_value_string", r'("[A-Za-z_][A-Za-z0-9_\-]{0,64}"\s*:\s*")[^"\\\n]{0,256}(?=")', "$1"),
     ("python_locals_block", r"(?i)(\b(?:kwargs|locals|vars|self|args)\s*=\s*\{)[^{}]{0,2048}(?=\})", "$1"),
     ("ipv4_address", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4]\d|[01]?\d\d?)\.){3}(?:25[0-5]|2[0-4]\d|[01]?\d\d?)(?![0-9.])", ""),
-    ("email_address", r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", ""),
+    # only the beginning of a run is tried, so a long run costs one pass
+    ("email_address", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}", ""),
 )
 SECRETS = (
     ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", ""),

@@ -107,7 +107,8 @@ def text_mark(text: Column, long_line: int = 400, packed_share: float = 0.12, di
 def _numbered(text: Column, lines: Column) -> Column:
     """Whether nearly all lines are one line again with other numbers: a counter ran, no author."""
     shapes = F.filter(F.split(F.regexp_replace(text, r"\d+", "0"), "\n"), lambda x: F.trim(x) != "")
-    return (F.size(F.array_distinct(shapes)) <= 0.25 * F.size(shapes)) & text.rlike(r"\D1\D[\s\S]*\D2\D[\s\S]*\D3\D")
+    counts = [text.rlike(rf"(?:^|\D){n}(?:\D|$)") for n in (1, 2, 3)]
+    return (F.size(F.array_distinct(shapes)) <= 0.25 * F.size(shapes)) & counts[0] & counts[1] & counts[2]
 
 
 # ---------------------------------------------------------------- attribute files

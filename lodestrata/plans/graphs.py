@@ -240,3 +240,48 @@ def class_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = G.simple_edges(c.select(F.col("parent").alias("src"), F.col("id").alias("dst")).join(c.select(F.col("id").alias("src")), "src", "left_semi"))
     wide = e.groupBy("src").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("src").alias("id"))
     return G.bfs(e, wide, 5)
+
+
+# What makes a symbol a way in, by its decorators, in this order.
+GATEWAYS = (
+    ("http", r"@(?:app|router|api|bp|blueprint)\.(?:get|post|put|delete|patch|route)\b|@route\b|@(?:get|post|put|delete|patch)mapping\b"),
+    ("cli", r"@(?:cli|app)\.command|@click\.(?:command|group)|typer\..*command"),
+    ("event", r"@on_event\b|@event_handler\b|@(?:app|router)\.websocket\b|@receiver\b|@signal\b"),
+    ("task", r"@(?:celery|huey|dramatiq|rq)\.|@task\b|@shared_task\b|@periodic_task\b"),
+)
+_WAYS = (
+    "s0 AS (SELECT DISTINCT id, name, file, kind, array_to_string(decorators, ' ') AS d FROM symbols), gw AS (SELECT id, CASE "
+    + " ".join(f"WHEN regexp_matches(d, '(?i){p}') THEN '{k}'" for k, p in GATEWAYS)
+    + " WHEN regexp_matches(file, '(^|/)(__main__|manage|wsgi|asgi|app|main|run|cli)[.]py$') AND lower(kind) IN ('function', 'class') THEN 'main' WHEN starts_with(name, 'test_') AND lower(kind) = 'function' THEN 'test' END AS gateway FROM s0)"
+)
+
+
+def gateways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, gateway of the symbols that are ways in, by decorator, file or name."""
+    rows = table(spark, sf_dir, "symbols").select("id", "name", "file", "kind", F.array_join("decorators", " ").alias("d")).distinct()
+    out = None
+    for kind, pattern in GATEWAYS:
+        test = F.col("d").rlike("(?i)" + pattern)
+        out = F.when(test, kind) if out is None else out.when(test, kind)
+    low = F.lower("kind")
+    out = out.when(F.col("file").rlike(r"(^|/)(__main__|manage|wsgi|asgi|app|main|run|cli)[.]py$") & low.isin("function", "class"), "main").when(F.col("name").startswith("test_") & (low == "function"), "test")
+    return rows.select("id", out.alias("gateway")).where("gateway is not null").distinct()
+
+
+@REGISTRY.query("gateways", f"WITH {_WAYS} SELECT DISTINCT id, gateway FROM gw WHERE gateway IS NOT NULL")
+def gateways_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols that are ways in, and of which kind."""
+    return gateways(spark, sf_dir)
+
+
+@REGISTRY.query(
+    "signal_chains",
+    _CALLS.replace("WITH s", "WITH RECURSIVE s", 1)
+    + f", {_WAYS}"
+    + """, w(seed, id, level) AS (SELECT id, id, 0 FROM gw WHERE gateway IS NOT NULL UNION ALL SELECT w.seed, ce.callee, w.level + 1 FROM w JOIN ce ON ce.caller = w.id AND ce.caller <> ce.callee WHERE w.level < 5)
+SELECT seed, id, min(level)::INTEGER AS level FROM w GROUP BY ALL""",
+)
+def signal_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every way in calls, directly or through others, up to five calls on."""
+    e = call_edges(spark, sf_dir).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
+    return G.bfs(e, gateways(spark, sf_dir).select("id"), 5)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import identity_score
-from ..functions.text import ABBREVIATIONS, json_list, stem_sql
+from ..functions.text import ABBREVIATIONS, json_list, raw_tokens, stem_sql
 from ..operators import ranking as R
 from ..tables import table
 from .registry import Registry
@@ -321,3 +321,48 @@ def query_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )).alias("p"))
     counts = parts.select("p.what", "p.value").where("value is not null").groupBy("what", "value").agg(F.count("*").alias("n"))
     return R.best_per_file(counts, "what", [F.desc("n"), F.asc("value")], 15)
+
+
+@REGISTRY.query(
+    "related_symbols",
+    """WITH s AS (SELECT DISTINCT id, file, name FROM symbols), t AS (SELECT * FROM s WHERE id = (SELECT min(symbol_id) FROM probe_symbols)),
+k AS (SELECT id, file, list_distinct(regexp_extract_all(lower(regexp_replace(coalesce(name, ''), '([a-z])([A-Z])', '\\1_\\2', 'g')), '[a-z0-9]{2,}')) AS w FROM s)
+SELECT k.id, (CASE WHEN k.file = t.file THEN 3e0 ELSE 0e0 END + 0.5e0 * len(list_intersect(k.w, tk.w))) AS score FROM k, t JOIN k tk ON tk.id = t.id
+WHERE k.id <> t.id AND (k.file = t.file OR len(list_intersect(k.w, tk.w)) > 0)""",
+)
+def related_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols related to one: by its file and by the words of its name."""
+    rows = symbols(spark, sf_dir).select("id", "file", "name").distinct()
+    words = rows.select("id", "file", F.array_distinct(raw_tokens(F.col("name"))).alias("w"))
+    first = table(spark, sf_dir, "probe_symbols").agg(F.min("symbol_id").alias("id"))
+    one = words.join(first, "id").select(F.col("id").alias("tid"), F.col("file").alias("tfile"), F.col("w").alias("tw"))
+    shared = F.size(F.array_intersect("w", "tw"))
+    near = words.crossJoin(F.broadcast(one)).where((F.col("id") != F.col("tid")) & ((F.col("file") == F.col("tfile")) | (shared > 0)))  # one row
+    return near.select("id", (F.when(F.col("file") == F.col("tfile"), 3.0).otherwise(0.0) + 0.5 * shared).alias("score"))
+
+
+@REGISTRY.query(
+    "turn_plan",
+    _BAG + """, h AS (SELECT count(*) AS hits, max(round(lexical, 6)) AS top FROM lex)
+SELECT hits, top, CASE WHEN hits = 0 THEN 'none' WHEN top >= 8 AND hits >= 3 THEN 'high' WHEN top >= 3 THEN 'medium' ELSE 'low' END AS confidence FROM h""",
+)
+def turn_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many symbols a query hits, how well, and how sure one may be of them."""
+    h = R.bm25(_ranked(spark, sf_dir), TERMS).agg(F.count("*").alias("hits"), F.max(F.round("lexical", 6)).alias("top"))
+    sure = F.when(F.col("hits") == 0, "none").when((F.col("top") >= 8) & (F.col("hits") >= 3), "high").when(F.col("top") >= 3, "medium").otherwise("low")
+    return h.withColumn("confidence", sure)
+
+
+@REGISTRY.query(
+    "context_bundle",
+    """WITH p AS (SELECT DISTINCT symbol_id AS id FROM probe_symbols), s AS (SELECT DISTINCT s.id, s.file, s.byte_length FROM symbols s JOIN p USING (id)),
+f AS (SELECT DISTINCT path, imports FROM files WHERE regexp_matches(imports, '\\]\\s*$')), i AS (SELECT DISTINCT path, unnest(from_json(imports, '[{"specifier":"VARCHAR"}]')).specifier AS sp FROM f), g AS (SELECT path, string_agg(sp, ',' ORDER BY sp) AS imports FROM i GROUP BY path)
+SELECT id, file, byte_length, g.imports FROM s LEFT JOIN g ON s.file = g.path""",
+)
+def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols asked about with the imports of their files, each once."""
+    asked = table(spark, sf_dir, "probe_symbols").select(F.col("symbol_id").alias("id")).distinct()
+    s = symbols(spark, sf_dir).select("id", "file", "byte_length").distinct().join(asked, "id", "left_semi")
+    f = table(spark, sf_dir, "files").select("path", "imports").where(F.col("imports").rlike(r"\]\s*$")).distinct()
+    i = f.select(F.col("path").alias("file"), F.explode(F.from_json("imports", "array<struct<specifier:string>>")).alias("i")).select("file", F.col("i.specifier").alias("sp")).distinct()
+    return s.join(i.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("sp")), ",").alias("imports")), "file", "left").select("id", "file", "byte_length", "imports")

@@ -69,34 +69,36 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int | None = None, carry: boo
     return seen
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, cut_every: int = 4) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, look_every: int = 4) -> DataFrame:
     """id, score. Repeated edges count once; the mass of nodes without edges out is spread evenly.
 
-    Ends after ``rounds`` or once the ranks move by less than ``tolerance`` in all, which is looked at with
-    every cut. An empty table of nodes gives no rows.
+    Ends after ``rounds`` or once the ranks move by less than ``tolerance`` in all, which is looked at every
+    few rounds. Edges with an end outside the nodes do not count. A round is one join and one sum: nodes keep themselves by an edge of weight 0, and what loose
+    nodes hold goes to a null node, whose one number the driver reads. An empty table of nodes gives no rows.
     """
     cuts = Cuts(edges.sparkSession)
     ids = cuts.cut(nodes.select("id").where("id is not null").distinct())
     n = ids.count()
     if not n:
         return ids.withColumn("score", F.lit(0.0))
-    e = simple_edges(edges)
+    inside = simple_edges(edges).join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    e = cuts.cut(inside.select("src", "dst"))
     out = e.groupBy("src").agg(F.count("*").alias("deg"))
-    links = cuts.cut(e.join(out, "src"))
-    ends = cuts.cut(ids.join(out.withColumnRenamed("src", "id"), "id", "left").select("id", F.col("deg").isNull().alias("loose")))
-    ranks = ends.select("id", "loose", F.lit(1.0 / n).alias("score"))
+    kind = ids.schema["id"].dataType
+    stay = ids.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("w"))
+    loose = ids.select(F.col("id").alias("src")).join(out, "src", "left_anti").select("src", F.lit(None).cast(kind).alias("dst"), F.lit(1.0).alias("w"))
+    links = cuts.cut(e.join(out, "src").select("src", "dst", (1.0 / F.col("deg")).alias("w")).unionByName(stay).unionByName(loose))
+    ranks, before = ids.withColumn("score", F.lit(1.0 / n)), None
     for i in range(1, rounds + 1):
-        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("loose"), F.col("score"))), F.lit(0.0)).alias("lost"))
-        given = links.join(ranks.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("deg")).alias("got"))
-        fresh = ranks.select("id", "loose", F.col("score").alias("was")).join(given, "id", "left").crossJoin(F.broadcast(loose))  # one row
-        score = F.lit((1 - damping) / n) + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)
-        fresh = fresh.select("id", "loose", "was", score.alias("score"))
-        ranks = fresh.drop("was")
-        if i % cut_every == 0 and i < rounds:
-            kept = cuts.cut(fresh)
-            ranks = kept.drop("was")
-            if kept.agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] < tolerance:
-                break
+        got = cuts.cut(links.join(ranks.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum(F.col("score") * F.col("w")).alias("got")))
+        lost = got.where("dst is null").agg(F.sum("got")).first()[0] or 0.0
+        fresh = got.where("dst is not null").select(F.col("dst").alias("id"), ((1 - damping) / n + damping * (F.col("got") + lost / n)).alias("score"))
+        still = tolerance and i % look_every == 0 and fresh.join(ranks.withColumnRenamed("score", "was"), "id").agg(F.sum(F.abs(F.col("score") - F.col("was")))).first()[0] < tolerance
+        if before is not None:
+            cuts.drop(before)
+        ranks, before = fresh, got
+        if still:
+            break
     return ranks.select("id", "score")
 
 

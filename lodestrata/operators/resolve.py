@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, dirname, file_stem, normal_path
+from ..session import Cuts
 
 # The order in which endings are tried.
 SCRIPT_ENDINGS = (".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs")
@@ -79,10 +80,11 @@ def barrel_closure(direct: DataFrame, reexports: DataFrame, most: int = 10) -> D
     ``reexports`` has path, target and name; a null name there passes on all. Every hop is an equi-join, and
     what was reached before is not followed again.
     """
-    seen = frontier = direct.select("importer", "path", "name").distinct()
+    cuts = Cuts(direct.sparkSession)
+    seen = frontier = cuts.cut(direct.select("importer", "path", "name").distinct())
     for _ in range(most):
         step = frontier.join(reexports.select("path", "target", F.col("name").alias("passed")), "path").where("passed is null or passed = name")
-        frontier = step.select("importer", F.col("target").alias("path"), "name").distinct().join(seen, ["importer", "path", "name"], "left_anti").checkpoint()
+        frontier = cuts.cut(step.select("importer", F.col("target").alias("path"), "name").distinct().join(seen, ["importer", "path", "name"], "left_anti"))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

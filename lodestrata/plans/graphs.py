@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.resolve import resolve_specifiers
 from ..operators.snapshots import first_per_key
 from ..tables import table
 from .registry import Registry
@@ -158,18 +159,25 @@ ce AS (SELECT DISTINCT c.id AS caller, uq.id AS callee, c.file AS src, uq.file A
 
 
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """caller, callee, src, dst: calls of names that one symbol of the repository has, with their files."""
+    """caller, callee, src, dst: calls with every symbol of the repository that has the name, and their files."""
     repo = F.substring_index("file", "/", 1)
     rows = table(spark, sf_dir, "symbols").select("id", "file", "name", "call_references").distinct()
-    one = rows.groupBy(repo.alias("repo"), "name").agg(F.min("file").alias("dst"), F.min("id").alias("callee"), F.count_distinct("id").alias("n")).where("n = 1").drop("n")
+    named = rows.select(repo.alias("repo"), "name", F.col("file").alias("dst"), F.col("id").alias("callee")).distinct()
     calls = rows.select(F.col("id").alias("caller"), F.col("file").alias("src"), repo.alias("repo"), F.explode("call_references").alias("name"))
-    return calls.join(one, ["repo", "name"]).select("caller", "callee", "src", "dst").distinct()
+    return calls.join(named, ["repo", "name"]).select("caller", "callee", "src", "dst").distinct()
 
 
 @REGISTRY.query("call_graph", _CALLS + "SELECT caller, callee, CASE WHEN src = dst THEN 'resolved' ELSE 'inferred' END AS resolution FROM ce")
 def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Callers and callees; calls within a file are resolved, others inferred from the name."""
-    return call_edges(spark, sf_dir).select("caller", "callee", F.when(F.col("src") == F.col("dst"), "resolved").otherwise("inferred").alias("resolution"))
+    """Callers and callees by tier: in the caller's file 'resolved', in a file that it imports 'imported', else
+    'inferred' from the name. The SQL still holds only names of one symbol and knows no imports."""
+    from .code import imports
+
+    calls = call_edges(spark, sf_dir)
+    seen = resolve_specifiers(imports(spark, sf_dir), table(spark, sf_dir, "files").select("path")).where("path is not null")
+    seen = seen.select(F.col("importer").alias("src"), F.col("path").alias("dst"), F.lit(True).alias("seen")).distinct()
+    tier = F.when(F.col("src") == F.col("dst"), "resolved").when(F.col("seen"), "imported").otherwise("inferred")
+    return calls.join(seen, ["src", "dst"], "left").select("caller", "callee", tier.alias("resolution"))
 
 
 @REGISTRY.query("file_importance", _CALLS + ", d AS (SELECT dst AS file, count(DISTINCT src) AS n FROM ce WHERE src <> dst GROUP BY dst) SELECT file, n AS in_degree, round(n / (SELECT sum(n) FROM d), 6) AS share FROM d ORDER BY n DESC, file LIMIT 100")

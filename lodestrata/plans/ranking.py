@@ -9,6 +9,7 @@ from ..functions.scores import identity_score
 from ..functions.text import ABBREVIATIONS, json_list, raw_tokens, stem_sql
 from ..operators import ranking as R
 from ..tables import table
+from .graphs import call_edges
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -106,10 +107,8 @@ _CENTRAL = """, central AS (
 
 
 def _centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = symbols(spark, sf_dir)
-    unique = rows.groupBy("name").agg(F.min("file").alias("target"), F.count_distinct("id").alias("c")).where("c = 1")
-    calls = rows.select("id", "file", F.explode("call_references").alias("name"))
-    return calls.join(unique, "name").where("file <> target").groupBy(F.col("target").alias("file")).agg(F.count("*").alias("n"))
+    calls = call_edges(spark, sf_dir).where("src <> dst")
+    return calls.groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("n"))
 
 
 @REGISTRY.query(

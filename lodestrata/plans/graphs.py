@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from ..operators.resolve import resolve_specifiers
+from ..operators.resolve import base_names, resolve_specifiers
 from ..operators.snapshots import first_per_key
 from ..tables import table
 from .registry import Registry
@@ -235,6 +235,10 @@ def pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.prune_leaves(edges, edges.select(F.col("dst").alias("id")).limit(0))
 
 
+#: what the ids of bases begin with that are no class of the repository
+EXTERNAL = "external:"
+
+
 @REGISTRY.query(
     "class_hierarchy",
     """WITH RECURSIVE c AS (SELECT DISTINCT id, parent FROM symbols WHERE lower(kind) IN ('class', 'type')),
@@ -243,11 +247,19 @@ w(seed, id, level) AS (SELECT id, id, 0 FROM r UNION ALL SELECT w.seed, e.src, w
 SELECT seed, id, min(level)::INTEGER AS level FROM w GROUP BY ALL""",
 )
 def class_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What lies within five levels below each class that has two or more classes right below."""
-    c = table(spark, sf_dir, "symbols").where(F.lower("kind").isin("class", "type")).select("id", "parent").distinct()
-    e = G.simple_edges(c.select(F.col("parent").alias("src"), F.col("id").alias("dst")).join(c.select(F.col("id").alias("src")), "src", "left_semi"))
+    """All below (level > 0) and above (level < 0) each class that has two or more classes right below, external for
+    bases that the repository has no class for. Classes hang on their parents and on the bases of their signatures.
+    The SQL still stops five levels down and knows parents alone."""
+    c = table(spark, sf_dir, "symbols").where(F.lower("kind").isin("class", "type")).select("id", "parent", F.substring_index("file", "/", 1).alias("repo"), "name", "signature").distinct()
+    parents = c.select(F.col("parent").alias("src"), F.col("id").alias("dst")).join(c.select(F.col("id").alias("src")), "src", "left_semi")
+    first = c.groupBy("repo", "name").agg(F.min("id").alias("base"))
+    based = c.select("repo", F.col("id").alias("dst"), F.explode(base_names(F.col("signature"))).alias("name")).join(first, ["repo", "name"], "left")
+    outer = F.concat(F.lit(EXTERNAL), "repo", F.lit("::"), "name")
+    e = G.simple_edges(parents.unionByName(based.select(F.coalesce("base", outer).alias("src"), "dst")))
     wide = e.groupBy("src").agg(F.count("*").alias("n")).where("n >= 2").select(F.col("src").alias("id"))
-    return G.bfs(e, wide, 5)
+    wide = wide.where(~F.col("id").startswith(EXTERNAL))
+    up = G.bfs(G.invert(e), wide).where("level > 0").withColumn("level", -F.col("level"))
+    return G.bfs(e, wide).unionByName(up).withColumn("external", F.col("id").startswith(EXTERNAL))
 
 
 # What makes a symbol a way in, by its decorators, in this order.

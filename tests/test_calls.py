@@ -25,3 +25,13 @@ def test_ambiguous_names_keep_every_match(spark, tmp_path):
     got = sorted(tuple(r) for r in graphs.call_graph(spark, sf).collect())
     assert got == [("a.main", "a.go", "resolved"), ("a.main", "b.go", "imported"), ("a.main", "c.go", "inferred"), ("a.main", "c.only", "inferred")]
     assert sorted(tuple(r) for r in ranking._centrality(spark, sf).collect()) == [("r/b.py", 1), ("r/c.py", 2)]
+
+
+def test_class_hierarchy_has_no_depth_and_walks_both_ways(spark, tmp_path):
+    cls = lambda i, parent=None, signature=None: (f"r/a.py::{i}", "r/a.py", i, "class", signature, f"r/a.py::{parent}" if parent else None, [])
+    chain = [cls(f"C{i}", f"C{i - 1}") for i in range(1, 9)]
+    symbols = [cls("C0", None, "class C0(Root, Missing)"), cls("Root"), cls("D", "C0"), *chain, cls("E", None, "class E extends C8")]
+    sf = write(spark, tmp_path / "sf", symbols)
+    got = {(r["seed"], r["id"]): (r["level"], r["external"]) for r in graphs.class_hierarchy(spark, sf).collect()}
+    want = {f"r/a.py::C{i}": (i, False) for i in range(9)} | {"r/a.py::D": (1, False), "r/a.py::E": (9, False), "r/a.py::Root": (-1, False), "external:r::Missing": (-1, True)}
+    assert got == {("r/a.py::C0", k): v for k, v in want.items()}

@@ -376,8 +376,8 @@ def param_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.c IS NOT DISTINCT FROM b.c THEN 'unchanged' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.path = b.path""",
 )
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of the index against those of the branches."""
-    a = table(spark, sf_dir, "files").where(~F.col("path").startswith("larch")).groupBy("path").agg(F.max("hash").alias("c"))
+    """Files of the index against those of the branches. The SQL still leaves out index files that start with 'larch'."""
+    a = table(spark, sf_dir, "files").groupBy("path").agg(F.max("hash").alias("c"))
     b = table(spark, sf_dir, "branch_deltas").groupBy(F.col("file").alias("path")).agg(F.max("file_hash").alias("c"))
     return S.snapshot_diff(a, b, ["path"], "c")
 
@@ -413,8 +413,9 @@ b AS (SELECT symbol_id, 'otel' AS source, count(*) AS c, max(score) AS p, '2026'
 SELECT coalesce(a.symbol_id, b.symbol_id) AS symbol_id, coalesce(a.source, b.source) AS source, (coalesce(a.c, 0) + coalesce(b.c, 0))::BIGINT AS count, coalesce(b.p, a.p) AS p95, coalesce(a.f, b.f) AS first_seen FROM a FULL JOIN b ON a.symbol_id = b.symbol_id AND a.source = b.source""",
 )
 def runtime_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch merged into a keyed state: counts add, latencies come from the batch, first sights stay."""
-    r = table(spark, sf_dir, "runtime_calls").where("symbol_id <> '' and source in ('otel', 'apm')").distinct()
+    """A batch merged into a keyed state: counts add, latencies come from the batch, first sights stay.
+    The SQL still leaves out state rows of other sources than otel and apm."""
+    r = table(spark, sf_dir, "runtime_calls").where("symbol_id <> ''").distinct()
     state = r.groupBy("symbol_id", "source").agg(F.sum("count").alias("count"), F.max("p95_ms").alias("p95"), F.min("first_seen").alias("first_seen"))
     b = table(spark, sf_dir, "fused_results").select("query_id", "symbol_id", "score").distinct()
     batch = b.groupBy("symbol_id", F.lit("otel").alias("source")).agg(F.count("*").alias("count"), F.max("score").alias("p95"), F.lit("2026").alias("first_seen"))

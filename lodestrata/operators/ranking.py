@@ -8,7 +8,9 @@ runs in Python over whole batches, which was measured to be the faster way.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Mapping, Sequence
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -146,31 +148,38 @@ def ranking_quality(predicted: DataFrame, relevant: DataFrame, query: str, key:
     return per.select(query, F.round(zero(F.col("dcg") / ideal), 6).alias("ndcg"), F.round(zero(1 / (F.col("first") + 1)), 6).alias("mrr"), F.round(F.col("hits") / F.col("n"), 6).alias("recall"))
 
 
-def pack_budget(ranked: DataFrame, group: str, key: str, file: str, score: str, size: str, budget: int, most_per_file: int = 3, decay: float = 0.5, most_rows: int = 1000) -> DataFrame:
+def pack_budget(ranked: DataFrame, group: str, key: str, file: str, score: str, size: str, budget: int, most_per_file: int = 3, decay: float = 0.5) -> DataFrame:
     """group, place, key, effective score: what greedily fits a budget, with diversity.
 
     Items come by score; the n-th of a file counts decay^n; at most ``most_per_file`` come from a file; an
-    item that does not fit is passed over. This is sequential, so each group is packed in one task, on at
-    most its ``most_rows`` best rows: give it a ranking that is cut to its top already.
+    item that does not fit is passed over. This is sequential, so each group is packed in one task, on all its
+    rows but those larger than the whole budget. The items of a file fade alike, so only the best left of each
+    file is compared.
     """
     order = Window.partitionBy(group).orderBy(F.desc(score), key)
-    top = ranked.select(group, key, file, score, size).withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= most_rows)
+    rows = ranked.select(group, key, file, score, size).where(~F.coalesce(F.col(size) > budget, F.lit(False))).withColumn("rk", F.row_number().over(order))
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
         left, taken, rows = budget, {}, []
-        pool = list(g.sort_values("rk")[[group, key, file, score, size]].itertuples(index=False, name=None))
-        while pool:
-            best = max(range(len(pool)), key=lambda i: (pool[i][3] * decay ** taken.get(pool[i][2], 0), -i))
-            grp, item, where, value, need = pool.pop(best)
+        queues: dict = {}
+        for at, item in enumerate(g.sort_values("rk")[[group, key, file, score, size]].itertuples(index=False, name=None)):
+            queues.setdefault(item[2], deque()).append((at, *item))
+        head = lambda q, n: (-(q[0][4] * decay**n), q[0][0], q[0][3])
+        heap = [head(q, 0) for q in queues.values()]
+        heapify(heap)
+        while heap:
+            _, _, where = heappop(heap)
+            _, grp, item, _, value, need = queues[where].popleft()
             n = taken.get(where, 0)
-            if n >= most_per_file or need > left:
-                continue
-            taken[where], left = n + 1, left - need
-            rows.append((grp, len(rows) + 1, item, value * decay**n))
+            if not need > left:
+                taken[where], left = n + 1, left - need
+                rows.append((grp, len(rows) + 1, item, value * decay**n))
+            if queues[where] and taken.get(where, 0) < most_per_file:
+                heappush(heap, head(queues[where], taken.get(where, 0)))
         return pd.DataFrame(rows, columns=[group, "place", key, "effective"])
 
     kind = dict(ranked.dtypes)
-    return top.groupBy(group).applyInPandas(pack, f"{group} {kind[group]}, place int, {key} {kind[key]}, effective double")
+    return rows.groupBy(group).applyInPandas(pack, f"{group} {kind[group]}, place int, {key} {kind[key]}, effective double")
 
 
 def best_per_file(df: DataFrame, file: str, order: Sequence[Column], most: int) -> DataFrame:

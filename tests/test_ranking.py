@@ -93,3 +93,9 @@ def test_text_functions(spark):
     for bad in ("x" * 300, "(a+)+", "("):
         with pytest.raises(Exception):
             T.check_pattern(bad)
+
+
+def test_packing_tries_every_row(spark):
+    rows = [("q", f"i{i:05}", f"f{i}", 5000.0 - i, 101 if i % 2 else 90) for i in range(3000)] + [("q", "last", "f0", 0.5, 10)]
+    got = R.pack_budget(spark.createDataFrame(rows, "g string, id string, file string, score double, size int"), "g", "id", "file", "score", "size", 100)
+    assert sorted((r["place"], r["id"], r["effective"]) for r in got.collect()) == [(1, "i00000", 5000.0), (2, "last", 0.25)]

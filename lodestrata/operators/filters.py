@@ -90,9 +90,13 @@ def layer(path: Column, layers: Mapping[str, Sequence[str]]) -> Column:
     return out
 
 
-def layer_violations(edges: DataFrame, src: Column, dst: Column, layers: Mapping[str, Sequence[str]], forbidden: Mapping[str, Sequence[str]]) -> DataFrame:
-    """``edges`` with src_layer and dst_layer, where a layer uses one that it must not. Rules are part of the plan."""
-    rows = edges.withColumn("src_layer", layer(src, layers)).withColumn("dst_layer", layer(dst, layers))
+def layer_violations(edges: DataFrame, src: Column, dst: Column | None, layers: Mapping[str, Sequence[str]], forbidden: Mapping[str, Sequence[str]]) -> DataFrame:
+    """``edges`` with src_layer and dst_layer, where a layer uses one that it must not. Rules are part of the plan.
+
+    Without ``dst`` the edges have dst_layer already.
+    """
+    rows = edges.withColumn("src_layer", layer(src, layers))
+    rows = rows if dst is None else rows.withColumn("dst_layer", layer(dst, layers))
     bad = [(F.col("src_layer") == a) & F.col("dst_layer").isin(list(bs)) for a, bs in forbidden.items() if bs]
     return rows.where(reduce(Column.__or__, bad, F.lit(False)))
 

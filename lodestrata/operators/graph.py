@@ -179,22 +179,31 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return every.join(size, "c", "left_semi").select("id", F.col("c").alias("component"))
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """id, label over weighted undirected edges (src, dst, weight): all nodes at once take the heaviest label
-    around them, of several the smallest; for a fixed number of rounds, or until none moves."""
+def label_propagation(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """id, label over weighted undirected edges (src, dst, weight): nodes take the heaviest label around them, their own
+    if it is among the heaviest, else of several the smallest; until none moves, for ``rounds`` at most.
+
+    Of the nodes that would move a half, by a hash of node and round, does; neighbours that always moved at once might
+    change labels for ever.
+    """
     cuts = Cuts(edges.sparkSession)
     both = edges.select("src", "dst", "weight").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("src <> dst")
     links = cuts.cut(both.groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
-    labels = links.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct()
-    for _ in range(rounds):
-        votes = links.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy("id").agg(F.min(F.struct((-F.round("w", 9)).alias("w"), "label")).alias("b")).select("id", F.col("b.label").alias("label"))
-        new = cuts.cut(best)
-        moved = new.join(labels.withColumnRenamed("label", "was"), "id").where("label <> was").isEmpty()
-        labels = new
-        if moved:
+    labels = cuts.cut(links.select(F.col("src").alias("id"), F.col("src").alias("label")).distinct())
+    for i in range(rounds):
+        votes = links.join(labels.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.round(F.sum("weight"), 9).alias("w"))
+        own = votes.join(labels.withColumnRenamed("label", "own"), "id")
+        best = own.groupBy("id", "own").agg(F.min(F.struct((-F.col("w")).alias("w"), "label")).alias("b"), F.max(F.when(F.col("label") == F.col("own"), F.col("w"))).alias("kept"))
+        to = best.where(F.coalesce(F.col("kept"), F.lit(-1.0)) < -F.col("b.w")).select("id", F.col("b.label").alias("to"))
+        now = F.when(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(2)) == 0, F.col("to"))
+        new = cuts.cut(labels.join(to, "id", "left").select("id", F.coalesce(now, "label").alias("label"), F.col("to").isNotNull().alias("moves")))
+        still = new.where("moves").isEmpty()
+        cuts.drop(labels)
+        labels = new.select("id", "label")
+        labels._cut_path = new._cut_path
+        if still:
             break
-    return labels
+    return labels.select("id", "label")
 
 
 def communities(labels: DataFrame, edges: DataFrame) -> DataFrame:

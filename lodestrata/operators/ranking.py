@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from heapq import heapify, heappop, heappush
 
 import pandas as pd
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.scores import confidence, cosine, identity_score
 from ..functions.text import trigrams
 from ..functions.tokenize import profile
+from ..session import Cuts
 
 K1, B, CENTRALITY, SMOOTHING = 1.5, 0.75, 0.3, 60
 #: how often the terms of a field count
@@ -50,16 +52,24 @@ def bm25(df: DataFrame, terms: Sequence[str], fields: Mapping[str, int] = FIELD_
     ``split`` adds a column s_FIELD for the score of each field taken alone.
     """
     terms = list(dict.fromkeys(terms))
-    rows = profiled(df, terms, fields)
+    rows = _profiled_once(df, terms, fields)
     stats = collection_stats(rows, len(terms))
     scores = {"lexical": sum((_gain(F.col("tf")[i], F.col("df_")[i]) for i in range(len(terms))), F.lit(0.0))}
     if split:
         at = lambda i, j: F.col("counts")[i * len(fields) + j]
         scores |= {f"s_{f}": sum((_gain(w * at(i, j), F.col("df_")[i]) for i in range(len(terms))), F.lit(0.0)) for j, (f, w) in enumerate(fields.items())}
-    joined = rows.where(F.array_max("tf") > 0).crossJoin(F.broadcast(stats))  # stats is one row
+    joined = rows.where("hit").crossJoin(F.broadcast(stats))  # stats is one row
     return joined.select(*df.columns, *(e.alias(c) for c, e in scores.items()))
 
 
+def _profiled_once(df: DataFrame, terms: Sequence[str], fields: Mapping[str, int]) -> DataFrame:
+    """The profiles written once, as both the counts of the collection and the scores need them; texts are kept
+    with the records that are hit, which are few."""
+    rows = profiled(df, terms, fields).withColumn("hit", F.array_max("tf") > 0)
+    kept = [F.when(F.col("hit"), F.col(c)).alias(c) for c in df.columns]
+    return Cuts(df.sparkSession).cut(rows.select("hit", "dl", "tf", "counts", *kept))
+
+
 def collection_stats(rows: DataFrame, n_terms: int) -> DataFrame:
     """One row: n_ records, their average length avgdl_, and the list df_, how many hold each query term."""
     hits = F.array(*(F.count_if(F.col("tf")[i] > 0) for i in range(n_terms)))
@@ -91,13 +101,27 @@ def hybrid(df: DataFrame, lexical: str, similarity: str, weight: float = 0.5) ->
     return df.crossJoin(F.broadcast(most)).withColumn("hybrid", (1 - weight) * scaled + weight * F.col(similarity)).drop("most_").where("hybrid > 0")  # one row
 
 
-def rank_channel(df: DataFrame, key: str, score: str, name: str, weight: float, least: float = 0.0) -> DataFrame:
-    """key, channel, rank, weight of the records that score above ``least``, ranked in one order; ties by key.
+def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with its place from 1 in one order over all rows, which must have a unique end.
 
-    The order is a global one over what a channel holds; give it top rows where a channel may be large.
+    The rows are sorted by ranges and written once; a row's place is its place in its range and the number of rows
+    of the ranges before, so no task holds more than a range.
     """
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc(score), key)
-    return df.where(F.col(score) > least).select(F.col(key), F.lit(name).alias("channel"), F.row_number().over(order).alias("rank"), F.lit(float(weight)).alias("weight"))
+    rows = Cuts(df.sparkSession).cut(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part, inner = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"), F.min(inner).alias("__0"))
+    before = Window.partitionBy(F.lit(1)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    first = sizes.select("__p", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__0")).alias("__first"))
+    return rows.withColumn("__p", part).join(first, "__p").withColumn(name, inner + F.col("__first") + 1).drop("__p", "__at", "__first")
+
+
+def rank_channels(channels: Sequence[tuple[DataFrame, str, str, float]], key: str, least: float = 0.0) -> DataFrame:
+    """key, channel, rank, weight of channels (records, score, channel, weight): the records of each that score above
+    ``least`` in one order; ties by key. All channels are sorted together, by ranges."""
+    parts = [df.where(F.col(score) > least).select(key, F.lit(name).alias("channel"), F.col(score).cast("double").alias("__s"), F.lit(float(weight)).alias("weight")) for df, score, name, weight in channels]
+    rows = numbered(reduce(DataFrame.unionByName, parts), [F.asc("channel"), F.desc("__s"), F.asc(key)], "__n")
+    first = rows.groupBy("channel").agg(F.min("__n").alias("__f"))
+    return rows.join(first, "channel").select(key, "channel", (F.col("__n") - F.col("__f") + 1).alias("rank"), "weight")
 
 
 def fuse_channels(channels: DataFrame, key: str, smoothing: int = SMOOTHING) -> DataFrame:
@@ -148,38 +172,93 @@ def ranking_quality(predicted: DataFrame, relevant: DataFrame, query: str, key:
     return per.select(query, F.round(zero(F.col("dcg") / ideal), 6).alias("ndcg"), F.round(zero(1 / (F.col("first") + 1)), 6).alias("mrr"), F.round(F.col("hits") / F.col("n"), 6).alias("recall"))
 
 
-def pack_budget(ranked: DataFrame, group: str, key: str, file: str, score: str, size: str, budget: int, most_per_file: int = 3, decay: float = 0.5) -> DataFrame:
+def fill_budget(df: DataFrame, group: str, order: Sequence[str], size: str, budget: int) -> DataFrame:
+    """The first rows of each group, by the columns of ``order`` (with - before a number that falls), up to the first that
+    takes the sum of their sizes over a budget. Sizes are whole numbers from 0.
+
+    No more than ``budget`` rows with a size can fit, so the running sum sees the first of a group alone, which are
+    picked before they meet; rows of size 0 are held against the row where the sum went over.
+    """
+    keys = [-F.col(c[1:]) if c.startswith("-") else F.col(c) for c in order]
+    at = F.struct(*(k.alias(f"o{i}") for i, k in enumerate(keys)))
+    w = Window.partitionBy(group).orderBy(*keys)
+    some = df.where(F.col(size) > 0).withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= budget + 1).drop("__rn")
+    upto = some.withColumn("__upto", F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    over = upto.where(F.col("__upto") > budget).groupBy(group).agg(F.min(at).alias("__end"))
+    free = df.where(F.col(size) == 0).join(over, group, "left").where(F.col("__end").isNull() | (at < F.col("__end")))
+    return upto.where(F.col("__upto") <= budget).select(*df.columns).unionByName(free.select(*df.columns))
+
+
+def pack_budget(ranked: DataFrame, group: str, key: str, file: str, score: str, size: str, budget: int, most_per_file: int = 3, decay: float = 0.5, chunk: int = 50_000) -> DataFrame:
     """group, place, key, effective score: what greedily fits a budget, with diversity.
 
     Items come by score; the n-th of a file counts decay^n; at most ``most_per_file`` come from a file; an
-    item that does not fit is passed over. This is sequential, so each group is packed in one task, on all its
-    rows but those larger than the whole budget. The items of a file fade alike, so only the best left of each
-    file is compared.
+    item that does not fit is passed over. This is sequential, so a group is packed ``chunk`` rows at a time: its
+    best rows that can still be placed, with those of the chunk before whose turn has not come. What is left of the
+    budget, how many each file has and where the chunk ended go on to the next one; rows larger than what is left
+    and files that are full drop out, which rules out no row that could be placed. Scores are not negative; nulls
+    of score, size or key cannot be placed.
     """
-    order = Window.partitionBy(group).orderBy(F.desc(score), key)
-    rows = ranked.select(group, key, file, score, size).where(~F.coalesce(F.col(size) > budget, F.lit(False))).withColumn("rk", F.row_number().over(order))
+    spark, kind = ranked.sparkSession, dict(ranked.dtypes)
+    cuts = Cuts(spark)
+    named = ranked.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(file).alias("f"), F.col(score).cast("double").alias("s"), F.col(size).cast("double").alias("z"))
+    rest = cuts.cut(named.where(F.col("k").isNotNull() & (F.col("s") >= 0) & (F.col("z") <= budget)))
+    shape = f"what string, g {kind[group]}, place int, k {kind[key]}, f {kind[file]}, s double, z double, n int, left double, last boolean"
+    state = None
+    found: list[DataFrame] = []
+    order = Window.partitionBy("g").orderBy(F.desc("s"), "k")
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
-        left, taken, rows = budget, {}, []
+        left, placed, taken, at, out = float(budget), 0, {}, g["g"].iloc[0], []
+        for what, f, n, had in zip(g["what"], g["f"], g["n"], g["left"], strict=True):
+            if what == "state":
+                left, placed = had, int(n)
+            elif what == "file":
+                taken[f] = int(n)
+        items = g[g["what"].isin(["row", "wait"])].sort_values(["s", "k"], ascending=[False, True], kind="stable")
+        fresh = items[items["what"] == "row"]
+        more = len(fresh) >= chunk  # the group may have rows beyond this chunk
+        floor = fresh["s"].iloc[-1] if more else -1.0
         queues: dict = {}
-        for at, item in enumerate(g.sort_values("rk")[[group, key, file, score, size]].itertuples(index=False, name=None)):
-            queues.setdefault(item[2], deque()).append((at, *item))
-        head = lambda q, n: (-(q[0][4] * decay**n), q[0][0], q[0][3])
-        heap = [head(q, 0) for q in queues.values()]
+        for i, (k, f, s, z) in enumerate(items[["k", "f", "s", "z"]].itertuples(index=False, name=None)):
+            queues.setdefault(f, deque()).append((i, k, s, z))
+        head = lambda f: (-(queues[f][0][2] * decay ** taken.get(f, 0)), queues[f][0][0], f)
+        heap = [(*head(f)[:2], j, f) for j, f in enumerate(queues) if taken.get(f, 0) < most_per_file]
         heapify(heap)
-        while heap:
-            _, _, where = heappop(heap)
-            _, grp, item, _, value, need = queues[where].popleft()
-            n = taken.get(where, 0)
-            if not need > left:
-                taken[where], left = n + 1, left - need
-                rows.append((grp, len(rows) + 1, item, value * decay**n))
-            if queues[where] and taken.get(where, 0) < most_per_file:
-                heappush(heap, head(queues[where], taken.get(where, 0)))
-        return pd.DataFrame(rows, columns=[group, "place", key, "effective"])
-
-    kind = dict(ranked.dtypes)
-    return rows.groupBy(group).applyInPandas(pack, f"{group} {kind[group]}, place int, {key} {kind[key]}, effective double")
+        while heap and -heap[0][0] >= floor:
+            _, _, j, f = heappop(heap)
+            _, k, s, z = queues[f].popleft()
+            n = taken.get(f, 0)
+            if z <= left:
+                taken[f], left, placed = n + 1, left - z, placed + 1
+                out.append(("placed", at, placed, k, f, s * decay**n, z, n, left, False))
+            if queues[f] and taken.get(f, 0) < most_per_file:
+                heappush(heap, (*head(f)[:2], j, f))
+        if more:
+            end = fresh.iloc[-1]
+            out.append(("state", at, placed, end["k"], None, end["s"], 0.0, placed, left, True))
+            out += [("file", at, 0, None, f, 0.0, 0.0, n, left, False) for f, n in taken.items()]
+            for _, _, _, f in heap:
+                sizes: dict = {}
+                for _, k, s, z in queues[f]:  # behind as many of its file that are no larger, an item is never placed
+                    if z <= left and sum(c for y, c in sizes.items() if y <= z) < most_per_file:
+                        sizes[z] = sizes.get(z, 0) + 1
+                        out.append(("wait", at, 0, k, f, s, z, 0, left, False))
+        return pd.DataFrame(out, columns=["what", "g", "place", "k", "f", "s", "z", "n", "left", "last"])
+
+    blank = lambda df: df.select(F.lit("row").alias("what"), "g", F.lit(0).alias("place"), "k", "f", "s", "z", F.lit(0).alias("n"), F.lit(0.0).alias("left"), F.lit(False).alias("last"))
+    while True:
+        best = blank(rest.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= chunk))
+        given = best if state is None else best.unionByName(state)
+        done = cuts.cut(given.groupBy("g").applyInPandas(pack, shape))
+        found.append(done.where("what = 'placed'").select(F.col("g").alias(group), "place", F.col("k").alias(key), F.col("s").alias("effective")))
+        state = done.where("what <> 'placed'")
+        ends = state.where("what = 'state'").select("g", F.col("s").alias("es"), F.col("k").alias("ek"), F.col("left").alias("el"))
+        if ends.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        full = state.where((F.col("what") == "file") & (F.col("n") >= most_per_file)).select("g", "f")
+        beyond = (F.col("s") < F.col("es")) | (F.col("s") == F.col("es")) & (F.col("k") > F.col("ek"))
+        rest = cuts.cut(rest.join(ends, "g").where(beyond & (F.col("z") <= F.col("el"))).select("g", "k", "f", "s", "z").join(full, ["g", "f"], "left_anti"))
 
 
 def best_per_file(df: DataFrame, file: str, order: Sequence[Column], most: int) -> DataFrame:

@@ -157,14 +157,14 @@ def contracts(exports: DataFrame, imports: DataFrame, least: int = 2) -> DataFra
     return used.join(owned, "name").where("member <> owner").groupBy("name", "owner").agg(F.count("*").alias("importers")).where(F.col("importers") >= least)
 
 
-def name_taken(symbols: DataFrame, targets: DataFrame, neighbours: DataFrame) -> DataFrame:
+def name_taken(symbols: DataFrame, targets: DataFrame, near: DataFrame) -> DataFrame:
     """id, new_name, collision of renames (id, file, new_name): whether the file or one that uses it has the name already.
 
-    ``neighbours`` has file and other, the files that use a file.
+    ``near`` has file and new_name: the files that are used from a file which has the name.
     """
-    near = targets.select("id", "new_name", F.col("file").alias("other")).unionByName(targets.join(neighbours, "file").select("id", "new_name", "other")).distinct()
-    names = symbols.select(F.col("file").alias("other"), F.col("name").alias("new_name")).distinct()
-    hit = near.join(names, ["other", "new_name"], "left_semi").select("id", "new_name").distinct().withColumn("collision", F.lit(True))
+    own = symbols.select("file", F.col("name").alias("new_name"))
+    taken = own.unionByName(near.select("file", "new_name")).distinct()
+    hit = targets.join(taken, ["file", "new_name"], "left_semi").select("id", "new_name").distinct().withColumn("collision", F.lit(True))
     return targets.select("id", "new_name").distinct().join(hit, ["id", "new_name"], "left").withColumn("collision", F.coalesce("collision", F.lit(False)))
 
 

@@ -69,6 +69,13 @@ def similar_pairs(df: DataFrame, key: str, terms: str, size: str, threshold: flo
     return found.where(F.col("similarity") >= threshold)
 
 
+def nearest(pairs: DataFrame) -> DataFrame:
+    """id, links, nearest, similarity: each record of a pair with the number of its pairs and the record it is most like, on a tie the smallest."""
+    ends = pairs.select(F.col("src").alias("id"), F.col("dst").alias("other"), "similarity").unionByName(pairs.select(F.col("dst").alias("id"), F.col("src").alias("other"), "similarity"))
+    best = ends.groupBy("id").agg(F.count("*").alias("links"), F.min(F.struct((-F.col("similarity")).alias("s"), "other")).alias("b"))
+    return best.select("id", "links", F.col("b.other").alias("nearest"), (-F.col("b.s")).alias("similarity"))
+
+
 def clusters(pairs: DataFrame) -> DataFrame:
     """id, component, links: each record of a pair with its cluster and the number of its pairs."""
     links = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))

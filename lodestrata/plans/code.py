@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.text import glob_match, is_test_file, whole_word_count
 from ..operators import filters as L
 from ..operators import resolve as R
+from ..session import Cuts
 from ..tables import table
-from .graphs import _CALLS, call_edges
+from .graphs import _CALLS, calls_by_name, name_files, symbol_uses
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -119,12 +120,14 @@ LAYERS = {"entry": ["cmd", "app", "services"], "core": ["internal", "lib", "src"
 _LAYER = "CASE WHEN {0} IN ('cmd', 'app', 'services') THEN 'entry' WHEN {0} IN ('internal', 'lib', 'src') THEN 'core' WHEN {0} = 'tests' THEN 'checks' END"
 
 
-@REGISTRY.query("layer_violations", _CALLS + f", x AS (SELECT DISTINCT src, dst, {_LAYER.format("split_part(src, '/', 2)")} AS src_layer, {_LAYER.format("split_part(dst, '/', 2)")} AS dst_layer FROM ce) SELECT * FROM x WHERE (src_layer = 'core' AND dst_layer IN ('entry', 'checks')) OR (src_layer = 'entry' AND dst_layer = 'checks')")
+@REGISTRY.query("layer_violations", _CALLS + f", x AS (SELECT DISTINCT src, cl.name, {_LAYER.format("split_part(src, '/', 2)")} AS src_layer, dst_layer, targets FROM cl JOIN (SELECT repo, name, {_LAYER.format("split_part(dst, '/', 2)")} AS dst_layer, count(DISTINCT dst) AS targets FROM nm GROUP BY ALL) n ON cl.repo = n.repo AND cl.name = n.name) SELECT * FROM x WHERE (src_layer = 'core' AND dst_layer IN ('entry', 'checks')) OR (src_layer = 'entry' AND dst_layer = 'checks')")
 def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls from a layer into one that it must not use."""
-    e = call_edges(spark, sf_dir).select("src", "dst").distinct()
+    """Names that a file calls out of a layer which it must not use, with the number of files of that layer that have the name."""
     inner = lambda c: F.regexp_replace(c, r"^[^/]*/", "")
-    return L.layer_violations(e, inner("src"), inner("dst"), {k: [f"{p}/" for p in v] for k, v in LAYERS.items()}, {"core": ["entry", "checks"], "entry": ["checks"]})
+    prefixes = {k: [f"{p}/" for p in v] for k, v in LAYERS.items()}
+    named = name_files(spark, sf_dir).groupBy("repo", "name", L.layer(inner("dst"), prefixes).alias("dst_layer")).agg(F.count("*").alias("targets"))
+    calls = calls_by_name(spark, sf_dir).select("repo", "name", "src").distinct().join(named.where("dst_layer is not null"), ["repo", "name"])
+    return L.layer_violations(calls.select("src", "name", "targets", "dst_layer"), inner("src"), None, prefixes, {"core": ["entry", "checks"], "entry": ["checks"]})
 
 
 @REGISTRY.query(
@@ -274,7 +277,7 @@ def group_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(
     "rename_collisions",
-    _CALLS + """, t AS (SELECT DISTINCT id, file, 'parse_config' AS new_name FROM s WHERE name LIKE 'update%'), nb AS (SELECT DISTINCT dst AS file, src AS other FROM ce),
+    _CALLS + """, t AS (SELECT DISTINCT id, file, 'parse_config' AS new_name FROM s WHERE name LIKE 'update%'), nb AS (SELECT DISTINCT nm.dst AS file, src AS other FROM cl JOIN nm ON cl.repo = nm.repo AND cl.name = nm.name),
 o AS (SELECT id, new_name, file AS other FROM t UNION SELECT id, new_name, other FROM t JOIN nb USING (file)),
 h AS (SELECT DISTINCT o.id FROM o JOIN s ON s.file = o.other AND s.name = o.new_name)
 SELECT DISTINCT id, new_name, id IN (SELECT id FROM h) AS collision FROM t""",
@@ -283,25 +286,25 @@ def rename_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which symbols could not be renamed, as their file or one that calls into it has the name."""
     rows = symbols(spark, sf_dir, "id", "file", "name")
     targets = rows.where(F.col("name").startswith("update")).select("id", "file", F.lit("parse_config").alias("new_name"))
-    near = call_edges(spark, sf_dir).select(F.col("dst").alias("file"), F.col("src").alias("other")).distinct()
+    # files that have the new name, the names they call, and the files that have these
+    having = rows.join(targets.select(F.col("new_name").alias("name")).distinct(), "name", "left_semi").select(F.col("file").alias("src"), F.col("name").alias("new_name")).distinct()
+    called = calls_by_name(spark, sf_dir).select("repo", "name", "src").distinct().join(having, "src").select("repo", "name", "new_name").distinct()
+    near = name_files(spark, sf_dir).join(called, ["repo", "name"]).select(F.col("dst").alias("file"), "new_name").distinct()
     return R.name_taken(rows, targets, near)
 
 
 @REGISTRY.query(
     "delete_safety",
     _CALLS + """, t AS (SELECT DISTINCT id, decorators FROM symbols), ep AS (SELECT id FROM t WHERE len(decorators) > 0),
-ex AS (SELECT DISTINCT callee AS id FROM ce WHERE src <> dst AND NOT regexp_matches('/' || src, '/(tests?|__tests__)/')), inn AS (SELECT DISTINCT callee AS id FROM ce WHERE src = dst), te AS (SELECT DISTINCT callee AS id FROM ce)
+ex AS (SELECT DISTINCT id FROM uses WHERE files > tests), inn AS (SELECT DISTINCT id FROM uses WHERE own > 0), te AS (SELECT DISTINCT id FROM uses WHERE files > 0)
 SELECT DISTINCT id, CASE WHEN id IN (SELECT symbol_id FROM runtime_calls WHERE symbol_id IS NOT NULL) THEN 'runtime' WHEN id IN (SELECT id FROM ep) THEN 'entry_point' WHEN id IN (SELECT id FROM ex) THEN 'external' WHEN id IN (SELECT id FROM inn) THEN 'internal'
  WHEN id IN (SELECT id FROM te) THEN 'test_only' ELSE 'safe' END AS verdict FROM t""",
 )
 def delete_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands against deleting each symbol: the first of runtime, entry point, outer, inner and test use."""
     rows = symbols(spark, sf_dir, "id", "decorators")
-    calls = call_edges(spark, sf_dir)
-    outer = calls.where("src <> dst")
-    tests = F.concat(F.lit("/"), F.col("src")).rlike(r"/(?:tests?|__tests__)/")
-    to = lambda df: df.select(F.col("callee").alias("id"))
-    steps = [(table(spark, sf_dir, "runtime_calls").select(F.col("symbol_id").alias("id")), "runtime"), (rows.where(F.size("decorators") > 0), "entry_point"), (to(outer.where(~tests)), "external"), (to(calls.where("src = dst")), "internal"), (to(calls), "test_only")]
+    uses = Cuts(spark).cut(symbol_uses(spark, sf_dir).where("files + own > 0"))
+    steps = [(table(spark, sf_dir, "runtime_calls").select(F.col("symbol_id").alias("id")), "runtime"), (rows.where(F.size("decorators") > 0), "entry_point"), (uses.where("files > tests"), "external"), (uses.where("own > 0"), "internal"), (uses.where("files > 0"), "test_only")]
     return R.ladder(rows, "id", steps, "safe")
 
 

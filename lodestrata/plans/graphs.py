@@ -1,4 +1,4 @@
-"""Graph queries. G is the flow of goods between nations; calls are edges between files."""
+"""Graph queries: over the flow of goods between nations, and over code by its imports, calls and changes."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
-from ..operators.resolve import base_names, resolve_specifiers
+from ..operators.resolve import ENDINGS, SCRIPT_ENDINGS, base_names, resolve_specifiers
 from ..operators.snapshots import first_per_key
+from ..session import Cuts
 from ..tables import table
 from .registry import Registry
 
@@ -150,42 +151,202 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.components(docs.join(first, "h").select(F.col("doc_id").alias("src"), "dst"))
 
 
+# Calls go by name. A call means surely what its own file or a file that it imports has of that name; else it may mean
+# every symbol of the name in the repository. Such a class is kept as one node, so a name that many call and many
+# have makes as many rows as calls and symbols, never their product.
 _CALLS = """
-WITH s AS (SELECT DISTINCT id, file, name, call_references FROM symbols),
-uq AS (SELECT split_part(file, '/', 1) AS repo, name, min(file) AS file, min(id) AS id FROM s GROUP BY 1, 2 HAVING count(DISTINCT id) = 1),
-ce AS (SELECT DISTINCT c.id AS caller, uq.id AS callee, c.file AS src, uq.file AS dst FROM (SELECT id, file, unnest(call_references) AS name FROM s) c
-  JOIN uq ON split_part(c.file, '/', 1) = uq.repo AND c.name = uq.name)
+WITH RECURSIVE s AS (SELECT DISTINCT id, file, name, split_part(file, '/', 1) AS repo, call_references FROM symbols),
+cl AS (SELECT DISTINCT id AS caller, file AS src, repo, unnest(call_references) AS name FROM s),
+nm AS (SELECT DISTINCT repo, name, id AS callee, file AS dst FROM s WHERE name IS NOT NULL),
+us AS (SELECT repo, name, src, count(*) AS n FROM cl WHERE name IS NOT NULL AND src IS NOT NULL GROUP BY ALL),
+ug AS (SELECT repo, name, count(*) AS files, count(*) FILTER (regexp_matches('/' || src, '/(tests?|__tests__)/')) AS tests, sum(n) AS callers FROM us GROUP BY ALL),
+uses AS (SELECT callee AS id, dst AS file, nm.name, coalesce(o.n, 0) AS own, coalesce(files, 0) - (o.n IS NOT NULL)::INT AS files, coalesce(callers, 0) - coalesce(o.n, 0) AS callers,
+  coalesce(tests, 0) - (o.n IS NOT NULL AND regexp_matches('/' || dst, '/(tests?|__tests__)/'))::INT AS tests, coalesce(tests, 0) AS all_tests
+  FROM nm LEFT JOIN ug ON nm.repo = ug.repo AND nm.name = ug.name LEFT JOIN us o ON nm.repo = o.repo AND nm.name = o.name AND nm.dst = o.src)
+"""
+_IMPORTED = """, fi AS (SELECT DISTINCT path, imports FROM files WHERE regexp_matches(imports, '\\]\\s*$')), sp AS (SELECT DISTINCT path AS importer, unnest(from_json(imports, '[{"specifier":"VARCHAR"}]')).specifier AS specifier FROM fi),
+ca AS (SELECT importer, specifier, regexp_replace(importer, '/[^/]*$', '') || substring(specifier, 2) AS base FROM sp WHERE specifier LIKE './%'),
+ed(o, ending) AS (VALUES """ + ", ".join(f"({i}, '{x}')" for i, x in enumerate(["", *ENDINGS, *("/index" + y for y in SCRIPT_ENDINGS), "/__init__.py"])) + """),
+im AS (SELECT DISTINCT importer AS src, path AS dst FROM (SELECT importer, specifier, arg_min(base || ending, o) AS path FROM ca, ed WHERE base || ending IN (SELECT path FROM files) GROUP BY ALL) WHERE importer <> path)
 """
 
 
-def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """caller, callee, src, dst: calls with every symbol of the repository that has the name, and their files."""
-    repo = F.substring_index("file", "/", 1)
-    rows = table(spark, sf_dir, "symbols").select("id", "file", "name", "call_references").distinct()
-    named = rows.select(repo.alias("repo"), "name", F.col("file").alias("dst"), F.col("id").alias("callee")).distinct()
-    calls = rows.select(F.col("id").alias("caller"), F.col("file").alias("src"), repo.alias("repo"), F.explode("call_references").alias("name"))
-    return calls.join(named, ["repo", "name"]).select("caller", "callee", "src", "dst").distinct()
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo, name, callee, dst: the symbols by their name, with their files."""
+    rows = table(spark, sf_dir, "symbols").select(F.substring_index("file", "/", 1).alias("repo"), "name", F.col("id").alias("callee"), F.col("file").alias("dst"))
+    return rows.where("name is not null").distinct()
 
 
-@REGISTRY.query("call_graph", _CALLS + "SELECT caller, callee, CASE WHEN src = dst THEN 'resolved' ELSE 'inferred' END AS resolution FROM ce")
-def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Callers and callees by tier: in the caller's file 'resolved', in a file that it imports 'imported', else
-    'inferred' from the name. The SQL still holds only names of one symbol and knows no imports."""
+def calls_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """caller, src, repo, name: each name that a symbol calls, once."""
+    rows = table(spark, sf_dir, "symbols").select(F.col("id").alias("caller"), F.col("file").alias("src"), F.substring_index("file", "/", 1).alias("repo"), F.explode("call_references").alias("name"))
+    return rows.where("name is not null").distinct()
+
+
+def import_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: files and the files that they import, from the specifiers."""
     from .code import imports
 
-    calls = call_edges(spark, sf_dir)
-    seen = resolve_specifiers(imports(spark, sf_dir), table(spark, sf_dir, "files").select("path")).where("path is not null")
-    seen = seen.select(F.col("importer").alias("src"), F.col("path").alias("dst"), F.lit(True).alias("seen")).distinct()
-    tier = F.when(F.col("src") == F.col("dst"), "resolved").when(F.col("seen"), "imported").otherwise("inferred")
-    return calls.join(seen, ["src", "dst"], "left").select("caller", "callee", tier.alias("resolution"))
+    found = resolve_specifiers(imports(spark, sf_dir), table(spark, sf_dir, "files").select("path"))
+    return G.simple_edges(found.select(F.col("importer").alias("src"), F.col("path").alias("dst")))
+
+
+def sure_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """caller, name, callee, src, dst, resolution: calls into the caller's own file and into files that it imports."""
+    calls, named = calls_by_name(spark, sf_dir), _named(spark, sf_dir)
+    own = calls.join(named.withColumn("src", F.col("dst")), ["repo", "name", "src"]).withColumn("resolution", F.lit("resolved"))
+    far = calls.join(import_edges(spark, sf_dir), "src").join(named.drop("repo"), ["dst", "name"]).withColumn("resolution", F.lit("imported"))
+    cols = ["caller", "name", "callee", "src", "dst", "resolution"]
+    return own.select(*cols).unionByName(far.select(*cols))
+
+
+def name_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo, name, representative, members: the symbols of one name in a repository as one class."""
+    return _named(spark, sf_dir).groupBy("repo", "name").agg(F.min("callee").alias("representative"), F.count("*").alias("members"))
+
+
+def name_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repo, name, dst: the files that have a symbol of a name."""
+    return _named(spark, sf_dir).select("repo", "name", "dst").distinct()
 
 
-@REGISTRY.query("file_importance", _CALLS + ", d AS (SELECT dst AS file, count(DISTINCT src) AS n FROM ce WHERE src <> dst GROUP BY dst) SELECT file, n AS in_degree, round(n / (SELECT sum(n) FROM d), 6) AS share FROM d ORDER BY n DESC, file LIMIT 100")
+def symbol_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, file, name, own, files, tests, callers, all_tests: what calls a symbol, sure or not, as counts.
+
+    own are callers in its file, files and tests the other files that call its name and those of them that are
+    tests, callers the symbols in these; all_tests takes its own file in. Each call is counted by name before it
+    meets the symbols, so the join is on a unique side.
+    """
+    test = lambda c: F.concat(F.lit("/"), F.col(c)).rlike(r"/(?:tests?|__tests__)/")
+    by_file = calls_by_name(spark, sf_dir).where("src is not null").groupBy("repo", "name", "src").agg(F.count("*").alias("n"))
+    by_name = by_file.groupBy("repo", "name").agg(F.count("*").alias("f"), F.count_if(test("src")).alias("t"), F.sum("n").alias("c"))
+    rows = _named(spark, sf_dir).join(by_name, ["repo", "name"], "left").join(by_file.select("repo", "name", F.col("src").alias("dst"), "n"), ["repo", "name", "dst"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    here = F.col("n").isNotNull()
+    return rows.select(
+        F.col("callee").alias("id"), F.col("dst").alias("file"), "name", zero("n").alias("own"), (zero("f") - here.cast("int")).alias("files"), (zero("c") - zero("n")).alias("callers"),
+        (zero("t") - (here & test("dst")).cast("int")).alias("tests"), zero("t").alias("all_tests"),
+    )
+
+
+@REGISTRY.query(
+    "call_graph",
+    _CALLS + _IMPORTED + """, x AS (SELECT cl.caller, cl.name, nm.callee, 'resolved' AS resolution FROM cl JOIN nm ON cl.repo = nm.repo AND cl.name = nm.name AND cl.src = nm.dst
+  UNION ALL SELECT cl.caller, cl.name, nm.callee, 'imported' FROM cl JOIN im ON cl.src = im.src JOIN nm ON nm.dst = im.dst AND nm.name = cl.name),
+k AS (SELECT caller, name, count(*) AS m FROM x GROUP BY ALL), g AS (SELECT repo, name, min(callee) AS callee, count(*) AS n FROM nm GROUP BY ALL)
+SELECT caller, callee, resolution, 1 AS candidates FROM x
+UNION ALL SELECT cl.caller, g.callee, 'inferred', n - coalesce(m, 0) FROM cl JOIN g ON cl.repo = g.repo AND cl.name = g.name LEFT JOIN k ON cl.caller = k.caller AND cl.name = k.name WHERE n > coalesce(m, 0)""",
+)
+def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """caller, callee, resolution, candidates: 'resolved' in the caller's file, 'imported' in a file that it imports, else
+    'inferred'. An inferred row stands for all other symbols of the name in the repository: callee is the class of the
+    name, its smallest id (`name_members` has the members), and candidates says how many they are."""
+    sure = sure_calls(spark, sf_dir)
+    matched = sure.groupBy("caller", "name").agg(F.count("*").alias("m"))
+    maybe = calls_by_name(spark, sf_dir).join(name_classes(spark, sf_dir), ["repo", "name"]).join(matched, ["caller", "name"], "left")
+    left = F.col("members") - F.coalesce("m", F.lit(0))
+    inferred = maybe.select("caller", F.col("representative").alias("callee"), F.lit("inferred").alias("resolution"), left.alias("candidates")).where("candidates > 0")
+    return sure.select("caller", "callee", "resolution", F.lit(1).cast("bigint").alias("candidates")).unionByName(inferred)
+
+
+@REGISTRY.query("name_members", _CALLS + "SELECT callee AS id, min(callee) OVER w AS class, count(*) OVER w AS members FROM nm WHERE repo IS NOT NULL WINDOW w AS (PARTITION BY repo, name)")
+def name_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of its name that every symbol belongs to, and how many symbols that has."""
+    rows = _named(spark, sf_dir).join(name_classes(spark, sf_dir), ["repo", "name"])
+    return rows.select(F.col("callee").alias("id"), F.col("representative").alias("class"), "members")
+
+
+_CODE = _CALLS + _IMPORTED + """, ce AS (
+  SELECT DISTINCT src, repo || '#' || name AS dst FROM cl WHERE (repo, name) IN (SELECT (repo, name) FROM nm)
+  UNION SELECT DISTINCT repo || '#' || name, dst FROM nm WHERE (repo, name) IN (SELECT (repo, name) FROM cl)
+  UNION SELECT src, '#' || dst FROM im UNION SELECT '#' || dst, dst FROM im),
+cn AS (SELECT src AS id FROM ce UNION SELECT dst FROM ce UNION SELECT file FROM s WHERE file IS NOT NULL)
+"""
+
+
+def code_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Edges (src, dst) and nodes (id) of the graph of files: a file leads to the names that it calls and the files that
+    it imports, as nodes of their own with #, and these lead to the files that have them. Two steps are one from file to
+    file, and there are as many edges as calls, symbols and imports."""
+    calls, named, imported = calls_by_name(spark, sf_dir), _named(spark, sf_dir), import_edges(spark, sf_dir)
+    node, target = F.concat("repo", F.lit("#"), "name"), F.concat(F.lit("#"), "dst")
+    out = calls.join(named.select("repo", "name").distinct(), ["repo", "name"], "left_semi").select("src", node.alias("dst"))
+    into = named.join(calls.select("repo", "name").distinct(), ["repo", "name"], "left_semi").select(node.alias("src"), "dst")
+    e = out.unionByName(into).unionByName(imported.select("src", target.alias("dst"))).unionByName(imported.select(target.alias("src"), "dst")).distinct()
+    cuts = Cuts(spark)
+    e = cuts.cut(e)
+    files = table(spark, sf_dir, "symbols").select(F.col("file").alias("id")).where("id is not null")
+    return e, cuts.cut(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).unionByName(files).distinct())
+
+
+def file_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file, rank: PageRank of the files in the graph of code, rounded to 10 places."""
+    edges, nodes = code_graph(spark, sf_dir)
+    ranks = G.pagerank(edges, nodes, rounds=RANK_ROUNDS)
+    return ranks.where(~F.contains("id", F.lit("#"))).select(F.col("id").alias("file"), F.round("score", 10).alias("rank"))
+
+
+#: Rounds of PageRank over code; the files that two rounds and more lie behind count 0.85 a round.
+RANK_ROUNDS = 12
+_RANKED = _CODE + f""", dg AS (SELECT src, count(*) AS deg FROM ce GROUP BY src), ln AS (
+  SELECT ce.src, ce.dst, 1e0 / deg AS w FROM ce JOIN dg ON ce.src = dg.src WHERE ce.src <> ce.dst UNION ALL SELECT id, id, 0e0 FROM cn UNION ALL SELECT id, NULL, 1e0 FROM cn WHERE id NOT IN (SELECT src FROM dg)),
+nn AS (SELECT count(*)::DOUBLE AS n FROM cn),
+pr(i, id, score) AS (
+  SELECT 0, id, 1 / n FROM cn, nn
+  UNION ALL
+  SELECT i + 1, id, score FROM (
+    SELECT i, dst AS id, 0.15e0 / n + 0.85e0 * (got + coalesce(sum(CASE WHEN dst IS NULL THEN got END) OVER (), 0e0) / n) AS score
+    FROM (SELECT pr.i, ln.dst, sum(pr.score * ln.w) AS got FROM pr JOIN ln ON pr.id = ln.src WHERE pr.i < {RANK_ROUNDS} GROUP BY pr.i, ln.dst), nn) WHERE id IS NOT NULL),
+fr AS (SELECT id AS file, round(score, 10) AS rank FROM pr WHERE i = {RANK_ROUNDS} AND NOT contains(id, '#'))
+"""
+_KINDS = "CASE lower(kind) WHEN 'class' THEN 0 WHEN 'type' THEN 1 WHEN 'function' THEN 2 WHEN 'method' THEN 3 ELSE 4 END"
+
+
+@REGISTRY.query(
+    "file_importance",
+    _RANKED + f""", d AS (SELECT file, sum(files) AS uses FROM (SELECT DISTINCT file, name, files FROM uses) GROUP BY file),
+b AS (SELECT file, arg_min(id, ({_KINDS}, -coalesce(byte_length, 0), id)) AS symbol FROM symbols GROUP BY file)
+SELECT fr.file, rank, coalesce(uses, 0)::BIGINT AS uses, symbol FROM fr LEFT JOIN d USING (file) LEFT JOIN b USING (file) ORDER BY fr.rank DESC, fr.file LIMIT 100""",
+)
 def file_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 100 files most others call into, with their share of all."""
-    d = G.simple_edges(call_edges(spark, sf_dir)).groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("in_degree"))
-    whole = d.agg(F.sum("in_degree").alias("w"))
-    return d.crossJoin(F.broadcast(whole)).select("file", "in_degree", F.round(F.col("in_degree") / F.col("w"), 6).alias("share")).orderBy(F.desc("in_degree"), "file").limit(100)  # one row
+    """The 100 files of the highest PageRank, with how many times other files call one of their names and their first symbol by kind and size."""
+    d = symbol_uses(spark, sf_dir).select("file", "name", "files").distinct().groupBy("file").agg(F.sum("files").alias("uses"))
+    first = F.struct(F.expr(_KINDS).alias("k"), (-F.coalesce("byte_length", F.lit(0))).alias("s"), "id")
+    b = table(spark, sf_dir, "symbols").groupBy("file").agg(F.min(first).alias("b"))
+    top = file_ranks(spark, sf_dir).orderBy(F.desc("rank"), "file").limit(100)
+    j = top.join(d, "file", "left").join(b, "file", "left")
+    return j.select("file", "rank", F.coalesce("uses", F.lit(0)).cast("bigint").alias("uses"), F.col("b.id").alias("symbol"))
+
+
+@REGISTRY.query("code_pagerank", _RANKED + "SELECT file, rank FROM fr")
+def code_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PageRank of every file by imports and calls."""
+    return file_ranks(spark, sf_dir)
+
+
+@REGISTRY.query(
+    "code_cycles",
+    _CODE + """, cf AS (SELECT a.src AS src, b.dst AS dst FROM ce a JOIN ce b ON a.dst = b.src WHERE NOT contains(a.src, '#') AND a.src <> b.dst GROUP BY ALL),
+rr(a, b) AS (SELECT src, dst FROM cf UNION SELECT rr.a, cf.dst FROM rr JOIN cf ON rr.b = cf.src)
+SELECT x.a AS file, least(min(x.b), x.a) AS component FROM rr x JOIN rr y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a""",
+)
+def code_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that use each other in a circle, with the smallest file of the circle."""
+    found = G.strong_components(code_graph(spark, sf_dir)[0]).where(~F.contains("id", F.lit("#")))
+    named = found.groupBy("component").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return found.join(named, "component").select(F.col("id").alias("file"), F.col("first").alias("component"))
+
+
+_ROOT = "SELECT min(file) FROM uses WHERE files > 0"
+
+
+@REGISTRY.query("code_blast_radius", _CODE + f""", bb(id, level) AS (SELECT file, 0 FROM ({_ROOT}) q(file) WHERE file IS NOT NULL UNION SELECT ce.src, bb.level + 1 FROM bb JOIN ce ON ce.dst = bb.id WHERE bb.level < 8)
+SELECT id AS file, (min(level) // 2)::INTEGER AS level FROM bb WHERE NOT contains(id, '#') GROUP BY id""")
+def code_blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a change of the first file that others use reaches backwards, up to four files on."""
+    root = symbol_uses(spark, sf_dir).where("files > 0").agg(F.min("file").alias("id")).where("id is not null")
+    found = G.bfs(G.invert(code_graph(spark, sf_dir)[0]), root, 8)
+    return found.where(~F.contains("id", F.lit("#"))).select(F.col("id").alias("file"), F.expr("level div 2").cast("int").alias("level"))
 
 
 _COOC = """
@@ -201,37 +362,46 @@ def cochange_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.cooccurrence(table(spark, sf_dir, "branch_deltas"), "branch", "file", 20)
 
 
-_FUSED = (
+_SIGNALS = (
     _CALLS
+    + _IMPORTED
     + _COOC.replace("WITH m", ", m", 1)
-    + """, st AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS weight FROM (SELECT DISTINCT src, dst FROM ce WHERE src <> dst) GROUP BY 1, 2),
-p AS (SELECT src, dst, 0.6e0 * weight / (SELECT max(weight) FROM st) AS w FROM st UNION ALL SELECT src, dst, 0.4e0 * weight / (SELECT max(weight) FROM t) FROM t)
+    + """, st AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, count(*) AS weight FROM im GROUP BY 1, 2),
+nj AS (SELECT path, unnest(from_json(imports, '[{"names":["VARCHAR"]}]')).names AS names FROM fi), ni AS (SELECT DISTINCT path, unnest(names) AS name FROM nj),
+nk AS (SELECT name FROM ni WHERE name IS NOT NULL GROUP BY name HAVING count(*) BETWEEN 2 AND 30),
+bh AS (SELECT a.path AS src, b.path AS dst, count(*) AS weight FROM ni a JOIN ni b ON a.name = b.name AND a.path < b.path WHERE a.name IN (SELECT name FROM nk) GROUP BY ALL),
+p AS (SELECT src, dst, 0.4e0 * weight / (SELECT max(weight) FROM st) AS w FROM st UNION ALL SELECT src, dst, 0.3e0 * weight / (SELECT max(weight) FROM bh) FROM bh
+  UNION ALL SELECT src, dst, 0.3e0 * weight / (SELECT max(weight) FROM t) FROM t)
 """
 )
 
 
 def fused_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = G.simple_edges(call_edges(spark, sf_dir)).withColumn("weight", F.lit(1))
-    return G.fuse_edges([(calls, 0.6), (cochange_edges(spark, sf_dir), 0.4)])
+    """src, dst, weight: import edges (0.4), files that import one name (0.3) and files that change together (0.3)."""
+    from .code import imports
 
+    structural = import_edges(spark, sf_dir).withColumn("weight", F.lit(1))
+    names = imports(spark, sf_dir).select(F.col("importer").alias("file"), F.explode("names").alias("name"))
+    return G.fuse_edges([(structural, 0.4), (G.cooccurrence(names, "name", "file", 30), 0.3), (cochange_edges(spark, sf_dir), 0.3)])
 
-@REGISTRY.query("fused_edges", _FUSED + "SELECT src, dst, round(sum(w), 6) AS weight FROM p GROUP BY ALL")
+
+@REGISTRY.query("fused_edges", _SIGNALS + "SELECT src, dst, round(sum(w), 6) AS weight FROM p GROUP BY ALL")
 def fused_edges_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Call and co-change edges, each by its largest weight, in one weight."""
+    """Edges between files by imports, shared imported names and common changes, each by its largest weight, in one weight."""
     return fused_edges(spark, sf_dir)
 
 
 @REGISTRY.query("module_map")
 def module_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Communities of files by label propagation over the fused edges, with cohesion, outer weight and anchor."""
-    edges = fused_edges(spark, sf_dir)
+    edges = Cuts(spark).cut(fused_edges(spark, sf_dir))
     return G.communities(G.label_propagation(edges), edges)
 
 
 @REGISTRY.query("pruned_graph")
 def pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The call edges between files that are left when leaves fall off again and again."""
-    edges = call_edges(spark, sf_dir)
+    """The fused edges between files that are left when leaves fall off again and again."""
+    edges = Cuts(spark).cut(fused_edges(spark, sf_dir))
     return G.prune_leaves(edges, edges.select(F.col("dst").alias("id")).limit(0))
 
 
@@ -241,15 +411,23 @@ EXTERNAL = "external:"
 
 @REGISTRY.query(
     "class_hierarchy",
-    """WITH RECURSIVE c AS (SELECT DISTINCT id, parent FROM symbols WHERE lower(kind) IN ('class', 'type')),
-e AS (SELECT a.id AS src, b.id AS dst FROM c a JOIN c b ON a.parent = b.id WHERE a.id <> b.id), r AS (SELECT dst AS id FROM e GROUP BY dst HAVING count(DISTINCT src) >= 2),
-w(seed, id, level) AS (SELECT id, id, 0 FROM r UNION ALL SELECT w.seed, e.src, w.level + 1 FROM w JOIN e ON e.dst = w.id WHERE w.level < 5)
-SELECT seed, id, min(level)::INTEGER AS level FROM w GROUP BY ALL""",
+    """WITH RECURSIVE c AS (SELECT DISTINCT id, parent, split_part(file, '/', 1) AS repo, name, signature FROM symbols WHERE lower(kind) IN ('class', 'type')),
+sg AS (SELECT id, repo, regexp_extract(signature, '\\bextends\\s+([\\w.,\\s<>]+?)(\\s+(extends|implements)\\b|\\{|:|$)', 1) AS ex, regexp_extract(signature, '\\bimplements\\s+([\\w.,\\s<>]+?)(\\s+(extends|implements)\\b|\\{|:|$)', 1) AS im,
+  regexp_extract(signature, '\\bclass\\s+\\w+\\s*\\(([^()]*)\\)', 1) AS br FROM c),
+bl AS (SELECT id, repo, [trim(x) for x in string_split(regexp_replace(ex || ',' || im, '<[^<>]*>', '', 'g'), ',') if trim(x) <> ''] AS said, [trim(x) for x in string_split(br, ',') if regexp_matches(trim(x), '^[A-Z][\\w.]*$')] AS br FROM sg),
+bs AS (SELECT id, repo, unnest(CASE WHEN len(said) > 0 THEN said ELSE br END) AS name FROM bl),
+fst AS (SELECT repo, name, min(id) AS base FROM c GROUP BY ALL),
+e AS (SELECT a.parent AS src, a.id AS dst FROM c a WHERE a.parent IN (SELECT id FROM c) AND a.id <> a.parent
+  UNION SELECT coalesce(base, 'external:' || bs.repo || '::' || bs.name), bs.id FROM bs LEFT JOIN fst ON bs.repo = fst.repo AND bs.name = fst.name WHERE coalesce(base, '') <> bs.id),
+r AS (SELECT src AS id FROM e WHERE NOT starts_with(src, 'external:') GROUP BY src HAVING count(DISTINCT dst) >= 2),
+w(seed, id, level) AS (SELECT id, id, 0 FROM r UNION SELECT w.seed, e.dst, w.level + 1 FROM w JOIN e ON e.src = w.id WHERE w.level < 100),
+u(seed, id, level) AS (SELECT id, id, 0 FROM r UNION SELECT u.seed, e.src, u.level - 1 FROM u JOIN e ON e.dst = u.id WHERE u.level > -100)
+SELECT seed, id, min(level)::INTEGER AS level, starts_with(id, 'external:') AS external FROM w GROUP BY ALL
+UNION ALL SELECT seed, id, max(level)::INTEGER, starts_with(id, 'external:') FROM u WHERE id <> seed GROUP BY ALL""",
 )
 def class_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All below (level > 0) and above (level < 0) each class that has two or more classes right below, external for
-    bases that the repository has no class for. Classes hang on their parents and on the bases of their signatures.
-    The SQL still stops five levels down and knows parents alone."""
+    bases that the repository has no class for. Classes hang on their parents and on the bases of their signatures."""
     c = table(spark, sf_dir, "symbols").where(F.lower("kind").isin("class", "type")).select("id", "parent", F.substring_index("file", "/", 1).alias("repo"), "name", "signature").distinct()
     parents = c.select(F.col("parent").alias("src"), F.col("id").alias("dst")).join(c.select(F.col("id").alias("src")), "src", "left_semi")
     first = c.groupBy("repo", "name").agg(F.min("id").alias("base"))
@@ -296,12 +474,24 @@ def gateways_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(
     "signal_chains",
-    _CALLS.replace("WITH s", "WITH RECURSIVE s", 1)
+    _CALLS
     + f", {_WAYS}"
-    + """, w(seed, id, level) AS (SELECT id, id, 0 FROM gw WHERE gateway IS NOT NULL UNION ALL SELECT w.seed, ce.callee, w.level + 1 FROM w JOIN ce ON ce.caller = w.id AND ce.caller <> ce.callee WHERE w.level < 5)
-SELECT seed, id, min(level)::INTEGER AS level FROM w GROUP BY ALL""",
+    + """, g AS (SELECT repo, name, min(callee) AS class FROM nm GROUP BY ALL), k AS (SELECT nm.callee AS id, g.class FROM nm JOIN g ON nm.repo = g.repo AND nm.name = g.name),
+ke AS (SELECT DISTINCT cl.caller, g.class FROM cl JOIN g ON cl.repo = g.repo AND cl.name = g.name), ek AS (SELECT DISTINCT k.class AS src, ke.class AS dst FROM ke JOIN k ON ke.caller = k.id),
+w(seed, class, level) AS (SELECT gw.id, ke.class, 1 FROM gw JOIN ke ON ke.caller = gw.id WHERE gateway IS NOT NULL UNION SELECT w.seed, ek.dst, w.level + 1 FROM w JOIN ek ON ek.src = w.class WHERE w.level < 5)
+SELECT seed, class, min(level)::INTEGER AS level FROM w GROUP BY ALL""",
 )
 def signal_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What every way in calls, directly or through others, up to five calls on."""
-    e = call_edges(spark, sf_dir).select(F.col("caller").alias("src"), F.col("callee").alias("dst"))
-    return G.bfs(e, gateways(spark, sf_dir).select("id"), 5)
+    """What every way in calls, directly or through others, up to five calls on, as classes of names (`name_members`)."""
+    members = Cuts(spark).cut(name_members(spark, sf_dir).select("id", "class"))
+    calls = calls_by_name(spark, sf_dir).join(name_classes(spark, sf_dir), ["repo", "name"]).select(F.col("caller").alias("id"), F.col("representative").alias("dst"))
+    calls = Cuts(spark).cut(calls)
+    ways = gateways(spark, sf_dir).select(F.concat(F.lit(WAY), "id").alias("src"), "id")
+    first = ways.join(calls, "id").select("src", "dst")
+    between = calls.join(members, "id").select(F.col("class").alias("src"), "dst").distinct()
+    found = G.bfs(first.unionByName(between), first.select(F.col("src").alias("id")), 5).where("level > 0")
+    return found.select(F.substring("seed", len(WAY) + 1, 2**31 - 1).alias("seed"), F.col("id").alias("class"), "level")
+
+
+#: what the nodes of ways in begin with, as they are no class of their name
+WAY = "way:"

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import identity_score
 from ..functions.text import ABBREVIATIONS, json_list, raw_tokens, stem_sql
 from ..operators import ranking as R
+from ..session import Cuts
 from ..tables import table
-from .graphs import call_edges
+from .graphs import _CALLS, _RANKED, file_ranks, symbol_uses
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -24,13 +27,18 @@ INTENTS = {
 }
 
 
-def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols with repeated rows taken once."""
-    return table(spark, sf_dir, "symbols").distinct()
+def symbols(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """Columns of the symbols, repeated rows once."""
+    return table(spark, sf_dir, "symbols").select(*cols).distinct()
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return symbols(spark, sf_dir).select("id", "file", *FIELDS)
+    return symbols(spark, sf_dir, "id", "file", *FIELDS)
+
+
+def _aside(sql: str) -> str:
+    """CTEs over the symbols as further ones, beside others that call theirs s as well."""
+    return re.sub(r"\bFROM s\b", "FROM s1", sql.replace("WITH RECURSIVE s AS", ", s1 AS"))
 
 
 _BAG = f"""
@@ -100,15 +108,12 @@ def bm25_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.bm25(_ranked(spark, sf_dir), TERMS, split=True).select("id", *(F.round(f"s_{f}", 3).alias(f"s_{f}") for f in FIELDS))
 
 
-_CENTRAL = """, central AS (
-  SELECT d.file, count(*) AS n FROM (SELECT id, file, unnest(call_references) AS callee FROM (SELECT DISTINCT id, file, call_references FROM symbols)) c
-  JOIN (SELECT name, min(file) AS file FROM s GROUP BY name HAVING count(DISTINCT id) = 1) d ON c.callee = d.name WHERE c.file <> d.file GROUP BY d.file)
-"""
+_CENTRAL = _aside(_CALLS) + ", central AS (SELECT file, sum(callers) AS n FROM uses GROUP BY file HAVING sum(callers) > 0)\n"
 
 
 def _centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls = call_edges(spark, sf_dir).where("src <> dst")
-    return calls.groupBy(F.col("dst").alias("file")).agg(F.count("*").alias("n"))
+    """file, n: how often symbols of other files call a symbol of the file."""
+    return symbol_uses(spark, sf_dir).groupBy("file").agg(F.sum("callers").alias("n")).where("n > 0")
 
 
 @REGISTRY.query(
@@ -126,7 +131,7 @@ def symbol_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("identity_rank", "WITH s AS (SELECT DISTINCT id, name FROM symbols) SELECT id, CASE WHEN lower(name) = 'parse_config' OR lower(id) = 'parse_config' THEN 50e0 WHEN starts_with(lower(name), 'parse_config') THEN 30e0 WHEN contains(lower(id), 'parse_config') THEN 20e0 ELSE 0e0 END AS score FROM s WHERE contains(lower(id), 'parse_config') OR starts_with(lower(name), 'parse_config')")
 def identity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identity scores of the symbols that match a name at all."""
-    rows = symbols(spark, sf_dir).select("id", "name")
+    rows = symbols(spark, sf_dir, "id", "name")
     return rows.select("id", identity_score(F.col("name"), F.col("id"), "parse_config", "parse_config").alias("score")).where("score > 0")
 
 
@@ -148,7 +153,7 @@ def legacy_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     for w in words:
         kw = F.coalesce(F.array_contains("keywords", w), F.lit(False)).cast("int")
         score = score + 5 * has("name", w) + 2 * has("signature", w) + has("summary", w) + 3 * kw + has("docstring", w)
-    return symbols(spark, sf_dir).select("id", score.alias("score")).distinct().where("score > 0")
+    return symbols(spark, sf_dir, "id", "name", "signature", "summary", "docstring", "keywords").select("id", score.alias("score")).distinct().where("score > 0")
 
 
 @REGISTRY.query(
@@ -200,26 +205,24 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query(
     "fusion_search",
     _BAG.replace("WITH RECURSIVE s", _VEC.replace("WITH e", "WITH RECURSIVE e") + ", s", 1)
-    + _CENTRAL
+    + _aside(_RANKED)
     + """, ch AS (
   SELECT id, 1e0 AS w, row_number() OVER (ORDER BY round(lexical, 9) DESC, id) AS rk FROM lex
   UNION ALL SELECT id, 2e0, row_number() OVER (ORDER BY identity DESC, id) FROM ident WHERE identity > 0
-  UNION ALL SELECT lex.id, 0.4e0, row_number() OVER (ORDER BY n DESC, lex.id) FROM lex JOIN s USING (id) JOIN central USING (file)
+  UNION ALL SELECT lex.id, 0.4e0, row_number() OVER (ORDER BY rank DESC, lex.id) FROM lex JOIN s USING (id) JOIN fr USING (file) WHERE rank > 0
   UNION ALL SELECT symbol_id, 0.8e0, row_number() OVER (ORDER BY round(sim, 9) DESC, symbol_id) FROM c WHERE sim >= 0.1)
 SELECT id, round(sum(w / (60 + rk)), 9) AS score FROM ch GROUP BY id""",
 )
 def fusion_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical, identity, structural and similarity channels fused by weighted reciprocal ranks."""
+    """Lexical, identity, structural (PageRank of the file) and similarity channels fused by weighted reciprocal ranks."""
     rows = _ranked(spark, sf_dir)
-    lexical = R.bm25(rows, TERMS).withColumn("lexical", F.round("lexical", 9))
+    lexical = Cuts(spark).cut(R.bm25(rows, TERMS).select("id", "file", F.round("lexical", 9).alias("lexical")))
     identity = rows.select("id", identity_score(F.col("name"), F.col("id"), " ".join(TERMS), "_".join(TERMS)).alias("identity"))
-    structural = lexical.join(_centrality(spark, sf_dir), "file")
+    structural = lexical.join(file_ranks(spark, sf_dir), "file")
     v, q = _vectors(spark, sf_dir)
     near = R.with_cosine(v, "v", q).select(F.col("symbol_id").alias("id"), F.round("similarity", 9).alias("similarity")).where("similarity >= 0.1")
-    channels = R.rank_channel(lexical, "id", "lexical", "lexical", 1.0)
-    for part in (R.rank_channel(identity, "id", "identity", "identity", 2.0), R.rank_channel(structural, "id", "n", "structural", 0.4), R.rank_channel(near, "id", "similarity", "similarity", 0.8)):
-        channels = channels.unionByName(part)
-    return R.fuse_channels(channels, "id").select("id", "score")
+    channels = [(lexical, "lexical", "lexical", 1.0), (identity, "identity", "identity", 2.0), (structural, "rank", "structural", 0.4), (near, "similarity", "similarity", 0.8)]
+    return R.fuse_channels(R.rank_channels(channels, "id"), "id").select("id", "score")
 
 
 @REGISTRY.query(
@@ -269,20 +272,30 @@ def ranking_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of each query's candidates fits a budget of bytes, packed greedily with diversity by file."""
     best = table(spark, sf_dir, "fused_results").where("score is not null and not isnan(score)").groupBy("query_id", F.col("symbol_id").alias("id")).agg(F.max("score").alias("score"))
-    sized = symbols(spark, sf_dir).groupBy("id").agg(F.max("byte_length").alias("size"), F.min("file").alias("file"))
+    sized = symbols(spark, sf_dir, "id", "byte_length", "file").groupBy("id").agg(F.max("byte_length").alias("size"), F.min("file").alias("file"))
     joined = best.join(sized, "id").where("size is not null")
     return R.pack_budget(joined, "query_id", "id", "file", "score", "size", 1000)
 
 
 _KIND = "CASE lower(kind) WHEN 'class' THEN 0 WHEN 'type' THEN 1 WHEN 'function' THEN 2 WHEN 'method' THEN 3 ELSE 4 END"
+#: Characters of signatures that a repository's map may have.
+MAP_BUDGET = 4_000
 
 
-@REGISTRY.query("repo_map", f"WITH s AS (SELECT DISTINCT id, file, kind, byte_length, line FROM symbols), r AS (SELECT id, file, row_number() OVER (PARTITION BY file ORDER BY {_KIND}, byte_length DESC NULLS LAST, line NULLS LAST, id) AS place FROM s) SELECT id, file, place::INTEGER AS place FROM r WHERE place <= 5")
+@REGISTRY.query(
+    "repo_map",
+    _RANKED + f""", o AS (SELECT DISTINCT id, file, kind, byte_length, line, signature FROM symbols), q AS (SELECT id, file, length(signature) AS size, row_number() OVER (PARTITION BY file ORDER BY {_KIND}, byte_length DESC NULLS LAST, line NULLS LAST, id) AS place FROM o),
+z AS (SELECT q.*, rank, split_part(file, '/', 1) AS repo, coalesce(size, 0) AS cost FROM q JOIN fr USING (file) WHERE place <= 5 AND rank > 0),
+y AS (SELECT *, sum(cost) OVER (PARTITION BY repo ORDER BY rank DESC, file, place) AS upto FROM z)
+SELECT repo, file, id, place::INTEGER AS place FROM y WHERE upto <= {MAP_BUDGET}""",
+)
 def repo_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five first symbols of each file by kind, size and line."""
-    rows = symbols(spark, sf_dir).select("id", "file", "kind", "byte_length", "line").distinct()
+    """The five first symbols of each file by kind, size and line, files by PageRank, as far as the signatures fit each repository's budget."""
+    rows = symbols(spark, sf_dir, "id", "file", "kind", "byte_length", "line", "signature")
     order = [F.expr(_KIND), F.desc_nulls_last("byte_length"), F.asc_nulls_last("line"), F.asc("id")]
-    return R.best_per_file(rows, "file", order, 5).select("id", "file", "place")
+    first = R.best_per_file(rows, "file", order, 5).join(file_ranks(spark, sf_dir).where("rank > 0"), "file")
+    sized = first.withColumn("repo", F.substring_index("file", "/", 1)).withColumn("cost", F.coalesce(F.length("signature"), F.lit(0)))
+    return R.fill_budget(sized, "repo", ["-rank", "file", "place"], "cost", MAP_BUDGET).select("repo", "file", "id", "place")
 
 
 def _intent_sql() -> str:
@@ -313,7 +326,7 @@ SELECT what, value, n, row_number() OVER (PARTITION BY what ORDER BY n DESC, val
 )
 def query_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent keywords, kinds and languages, as starting points for queries."""
-    rows = symbols(spark, sf_dir).select("id", "kind", "language", "keywords").distinct()
+    rows = symbols(spark, sf_dir, "id", "kind", "language", "keywords")
     parts = rows.select(F.explode(F.concat(
         F.array(F.struct(F.lit("kind").alias("what"), F.lower("kind").alias("value")), F.struct(F.lit("language").alias("what"), F.lower("language").alias("value"))),
         F.transform(F.coalesce("keywords", F.array().cast("array<string>")), lambda k: F.struct(F.lit("keyword").alias("what"), F.lower(k).alias("value"))),
@@ -331,7 +344,7 @@ WHERE k.id <> t.id AND (k.file = t.file OR len(list_intersect(k.w, tk.w)) > 0)""
 )
 def related_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols related to one: by its file and by the words of its name."""
-    rows = symbols(spark, sf_dir).select("id", "file", "name").distinct()
+    rows = symbols(spark, sf_dir, "id", "file", "name")
     words = rows.select("id", "file", F.array_distinct(raw_tokens(F.col("name"))).alias("w"))
     first = table(spark, sf_dir, "probe_symbols").agg(F.min("symbol_id").alias("id"))
     one = words.join(first, "id").select(F.col("id").alias("tid"), F.col("file").alias("tfile"), F.col("w").alias("tw"))
@@ -361,7 +374,7 @@ SELECT id, file, byte_length, g.imports FROM s LEFT JOIN g ON s.file = g.path"""
 def context_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The symbols asked about with the imports of their files, each once."""
     asked = table(spark, sf_dir, "probe_symbols").select(F.col("symbol_id").alias("id")).distinct()
-    s = symbols(spark, sf_dir).select("id", "file", "byte_length").distinct().join(asked, "id", "left_semi")
+    s = symbols(spark, sf_dir, "id", "file", "byte_length").join(asked, "id", "left_semi")
     f = table(spark, sf_dir, "files").select("path", "imports").where(F.col("imports").rlike(r"\]\s*$")).distinct()
     i = f.select(F.col("path").alias("file"), F.explode(F.from_json("imports", "array<struct<specifier:string>>")).alias("i")).select("file", F.col("i.specifier").alias("sp")).distinct()
     return s.join(i.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("sp")), ",").alias("imports")), "file", "left").select("id", "file", "byte_length", "imports")

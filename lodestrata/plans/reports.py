@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.scores import banded, clamp, cosine
 from ..operators import metrics as M
 from ..operators import snapshots as S
+from ..session import Cuts
 from ..tables import table
 from .code import symbols
-from .graphs import _CALLS, call_edges
+from .graphs import _CALLS, calls_by_name, symbol_uses
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -51,10 +52,10 @@ def churn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("band", banded(F.col("changes"), [(3, "high"), (1, "medium")], "low"))
 
 
-@REGISTRY.query("extraction_candidates", _CALLS + ", x AS (SELECT DISTINCT id, cyclomatic FROM symbols) SELECT callee AS id, count(DISTINCT src) AS callers, cyclomatic * count(DISTINCT src) AS score FROM ce JOIN x ON callee = x.id WHERE cyclomatic >= 1 GROUP BY callee, cyclomatic HAVING count(DISTINCT src) >= 1")
+@REGISTRY.query("extraction_candidates", _CALLS + ", x AS (SELECT DISTINCT id, cyclomatic FROM symbols) SELECT id, files + (own > 0)::INT AS callers, cyclomatic * (files + (own > 0)::INT) AS score FROM uses JOIN x USING (id) WHERE cyclomatic >= 1 AND files + (own > 0)::INT >= 1")
 def extraction_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols by complexity times the number of files that call them."""
-    g = call_edges(spark, sf_dir).groupBy(F.col("callee").alias("id")).agg(F.count_distinct("src").alias("callers")).where("callers >= 1")
+    g = symbol_uses(spark, sf_dir).select("id", (F.col("files") + (F.col("own") > 0).cast("int")).alias("callers")).where("callers >= 1")
     x = symbols(spark, sf_dir, "id", "cyclomatic").where("cyclomatic >= 1")
     return g.join(x, "id").select("id", "callers", (F.col("cyclomatic") * F.col("callers")).alias("score"))
 
@@ -100,22 +101,25 @@ def runtime_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(
     "dead_code",
-    _CALLS + f""", f AS (SELECT DISTINCT file FROM s), u AS (SELECT dst AS file, bool_and({_TEST.format("src")}) AS only_tests, bool_and(src NOT IN (SELECT dst FROM ce WHERE src <> dst)) AS from_dead FROM ce WHERE src <> dst GROUP BY dst)
-SELECT f.file, CASE WHEN u.file IS NULL THEN 1.0e0 WHEN only_tests THEN 0.9e0 ELSE 0.7e0 END AS confidence FROM f LEFT JOIN u USING (file) WHERE u.file IS NULL OR only_tests OR from_dead""",
+    _CALLS + f""", al AS (SELECT file FROM uses GROUP BY file HAVING max(files) > 0), ua AS (SELECT repo, name, count(*) AS alive FROM us WHERE src IN (SELECT file FROM al) GROUP BY ALL),
+u AS (SELECT file, max(files) AS files, max(files - tests) AS others, max(coalesce(alive, 0) - (own > 0)::INT) AS alive FROM uses LEFT JOIN ua ON split_part(file, '/', 1) = repo AND uses.name = ua.name WHERE files > 0 GROUP BY file), f AS (SELECT DISTINCT file FROM s)
+SELECT f.file, CASE WHEN u.file IS NULL THEN 1.0e0 WHEN others = 0 THEN 0.9e0 ELSE 0.7e0 END AS confidence FROM f LEFT JOIN u USING (file) WHERE u.file IS NULL OR others = 0 OR alive = 0""",
 )
 def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that nothing calls into, only tests do, or only files that nothing calls into."""
-    e = call_edges(spark, sf_dir).where("src <> dst").select("src", "dst").distinct()
-    used = e.select(F.col("dst").alias("src"), F.lit(True).alias("alive")).distinct()
-    u = e.join(used, "src", "left").groupBy(F.col("dst").alias("file")).agg(F.every(_is_test("src")).alias("only_tests"), F.every(F.col("alive").isNull()).alias("from_dead"))
+    used = Cuts(spark).cut(symbol_uses(spark, sf_dir).where("files > 0").withColumn("repo", F.substring_index("file", "/", 1)))
+    alive = used.select(F.col("file").alias("src")).distinct()
+    by_alive = calls_by_name(spark, sf_dir).select("repo", "name", "src").distinct().join(alive, "src", "left_semi").groupBy("repo", "name").agg(F.count("*").alias("alive"))
+    rows = used.join(by_alive, ["repo", "name"], "left")
+    u = rows.groupBy("file").agg(F.max(F.col("files") - F.col("tests")).alias("others"), F.max(F.coalesce("alive", F.lit(0)) - (F.col("own") > 0).cast("int")).alias("alive"))
     files = table(spark, sf_dir, "symbols").select("file").distinct().join(u, "file", "left")
-    conf = F.when(F.col("only_tests").isNull(), 1.0).when(F.col("only_tests"), 0.9).otherwise(0.7)
-    return files.where("only_tests is null or only_tests or from_dead").select("file", conf.alias("confidence"))
+    conf = F.when(F.col("others").isNull(), 1.0).when(F.col("others") == 0, 0.9).otherwise(0.7)
+    return files.where("others is null or others = 0 or alive = 0").select("file", conf.alias("confidence"))
 
 
 _SIGNALS = _CALLS + f""", x AS (SELECT DISTINCT id, file FROM symbols WHERE lower(kind) IN ('function', 'method') AND NOT {_TEST.format("file")}),
-cf AS (SELECT DISTINCT dst FROM ce WHERE src <> dst), cc AS (SELECT DISTINCT callee FROM ce), rt AS (SELECT DISTINCT symbol_id FROM runtime_calls WHERE symbol_id <> ''),
-g AS (SELECT id, file, ((file NOT IN (SELECT dst FROM cf))::INT + (id NOT IN (SELECT callee FROM cc))::INT + (id NOT IN (SELECT symbol_id FROM rt))::INT) AS signals FROM x)
+cf AS (SELECT DISTINCT file FROM uses WHERE files > 0), cc AS (SELECT DISTINCT id FROM uses WHERE files + own > 0), rt AS (SELECT DISTINCT symbol_id FROM runtime_calls WHERE symbol_id <> ''),
+g AS (SELECT id, file, ((file NOT IN (SELECT file FROM cf))::INT + (id NOT IN (SELECT id FROM cc))::INT + (id NOT IN (SELECT symbol_id FROM rt))::INT) AS signals FROM x)
 """
 
 
@@ -123,11 +127,11 @@ g AS (SELECT id, file, ((file NOT IN (SELECT dst FROM cf))::INT + (id NOT IN (SE
 def dead_code_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions that at least two of three signals call dead: no file uses theirs, nothing calls them, they never ran."""
     x = symbols(spark, sf_dir, "id", "file", "kind").where(F.lower("kind").isin("function", "method") & ~_is_test("file")).select("id", "file").distinct()
-    e = call_edges(spark, sf_dir)
+    u = Cuts(spark).cut(symbol_uses(spark, sf_dir).where("files + own > 0").select("id", "file", "files"))
     mark = lambda df, c: df.distinct().withColumn(c, F.lit(1))
     j = (
-        x.join(mark(e.where("src <> dst").select(F.col("dst").alias("file")), "a"), "file", "left")
-        .join(mark(e.select(F.col("callee").alias("id")), "b"), "id", "left")
+        x.join(mark(u.where("files > 0").select("file"), "a"), "file", "left")
+        .join(mark(u.select("id"), "b"), "id", "left")
         .join(mark(table(spark, sf_dir, "runtime_calls").where("symbol_id <> ''").select(F.col("symbol_id").alias("id")), "c"), "id", "left")
     )
     signals = sum((F.col(c).isNull().cast("int") for c in "abc"), F.lit(0))
@@ -145,15 +149,14 @@ def uncalled_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(
     "untested_symbols",
-    _CALLS + f""", x AS (SELECT DISTINCT id, file FROM symbols WHERE lower(kind) IN ('function', 'method') AND NOT {_TEST.format("file")}),
-tf AS (SELECT DISTINCT dst FROM ce WHERE {_TEST.format("src")}), ts AS (SELECT DISTINCT callee FROM ce WHERE {_TEST.format("src")})
-SELECT id, CASE WHEN file IN (SELECT dst FROM tf) THEN 0.7e0 ELSE 1.0e0 END AS confidence FROM x WHERE id NOT IN (SELECT callee FROM ts)""",
+    _CALLS + f""", x AS (SELECT DISTINCT id, file FROM symbols WHERE lower(kind) IN ('function', 'method') AND NOT {_TEST.format("file")})
+SELECT id, CASE WHEN file IN (SELECT file FROM uses WHERE all_tests > 0) THEN 0.7e0 ELSE 1.0e0 END AS confidence FROM x WHERE id NOT IN (SELECT id FROM uses WHERE all_tests > 0)""",
 )
 def untested_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions that no test calls: surely where no test uses their file, else probably."""
     x = symbols(spark, sf_dir, "id", "file", "kind").where(F.lower("kind").isin("function", "method") & ~_is_test("file")).select("id", "file").distinct()
-    t = call_edges(spark, sf_dir).where(_is_test("src"))
-    j = x.join(t.select(F.col("callee").alias("id")), "id", "left_anti").join(t.select(F.col("dst").alias("file"), F.lit(1).alias("h")).distinct(), "file", "left")
+    t = Cuts(spark).cut(symbol_uses(spark, sf_dir).where("all_tests > 0").select("id", "file"))
+    j = x.join(t.select("id"), "id", "left_anti").join(t.select("file", F.lit(1).alias("h")).distinct(), "file", "left")
     return j.select("id", F.when(F.col("h").isNotNull(), 0.7).otherwise(1.0).alias("confidence"))
 
 
@@ -199,7 +202,7 @@ def radar_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(
     "file_risk",
-    _CALLS + f""", x AS (SELECT file, max(cyclomatic) AS cx FROM symbols GROUP BY file), i AS (SELECT dst AS file, count(DISTINCT src) AS n, bool_or({_TEST.format("src")}) AS t FROM ce WHERE src <> dst GROUP BY dst),
+    _CALLS + f""", x AS (SELECT file, max(cyclomatic) AS cx FROM symbols GROUP BY file), i AS (SELECT file, sum(files) AS n, max(tests) > 0 AS t FROM (SELECT DISTINCT file, name, files, tests FROM uses) GROUP BY file),
 c AS (SELECT file, count(DISTINCT branch) AS churn FROM branch_deltas GROUP BY file),
 p AS (SELECT x.file, greatest(0e0, least(100e0, 100 - 6 * greatest(coalesce(cx, 0) - 3, 0))) AS a, greatest(0e0, 100 - 5 * coalesce(n, 0)) AS b, greatest(0e0, 100 - 10 * coalesce(churn, 0)) AS c, CASE WHEN t THEN 100e0 ELSE 0e0 END AS d FROM x LEFT JOIN i USING (file) LEFT JOIN c USING (file))
 SELECT file, round((a + b + c + d) / 4, 1) AS composite, CASE WHEN round((a + b + c + d) / 4, 1) >= 85 THEN 'low' WHEN round((a + b + c + d) / 4, 1) >= 70 THEN 'moderate' WHEN round((a + b + c + d) / 4, 1) >= 55 THEN 'high' ELSE 'critical' END AS level FROM p""",
@@ -207,7 +210,7 @@ SELECT file, round((a + b + c + d) / 4, 1) AS composite, CASE WHEN round((a + b
 def file_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of what complexity, use, churn and missing tests leave of 100, and its band."""
     x = table(spark, sf_dir, "symbols").groupBy("file").agg(F.max("cyclomatic").alias("cx"))
-    i = call_edges(spark, sf_dir).where("src <> dst").groupBy(F.col("dst").alias("file")).agg(F.count_distinct("src").alias("n"), F.some(_is_test("src")).alias("t"))
+    i = symbol_uses(spark, sf_dir).select("file", "name", "files", "tests").distinct().groupBy("file").agg(F.sum("files").alias("n"), (F.max("tests") > 0).alias("t"))
     c = table(spark, sf_dir, "branch_deltas").groupBy("file").agg(F.count_distinct("branch").alias("churn"))
     zero = lambda col: F.coalesce(col, F.lit(0))
     a = clamp(100.0 - 6 * F.greatest(zero("cx") - 3, F.lit(0)), 0.0, 100.0)
@@ -219,7 +222,7 @@ def file_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(
     "change_risk",
-    _CALLS + f""", d AS (SELECT DISTINCT branch, file FROM branch_deltas), x AS (SELECT file, max(cyclomatic) AS cx FROM symbols GROUP BY file), u AS (SELECT DISTINCT dst AS file FROM ce WHERE src <> dst), t AS (SELECT DISTINCT dst AS file FROM ce WHERE {_TEST.format("src")}),
+    _CALLS + f""", d AS (SELECT DISTINCT branch, file FROM branch_deltas), x AS (SELECT file, max(cyclomatic) AS cx FROM symbols GROUP BY file), u AS (SELECT DISTINCT file FROM uses WHERE files > 0), t AS (SELECT DISTINCT file FROM uses WHERE all_tests > 0),
 h AS (SELECT file, count(DISTINCT branch) AS churn FROM branch_deltas GROUP BY file),
 g AS (SELECT branch, count(*) AS files, avg((u.file IS NOT NULL)::INT) AS blast, max(coalesce(cx, 0)) AS cx, avg(churn) AS churn, avg((t.file IS NULL)::INT) AS untested FROM d LEFT JOIN x USING (file) LEFT JOIN u USING (file) LEFT JOIN t USING (file) LEFT JOIN h USING (file) GROUP BY branch)
 SELECT branch, round(0.30e0 * (1 - exp(-5 * blast)) + 0.25e0 * least(1e0, ln(1 + cx) / ln(31e0)) + 0.15e0 * least(1e0, ln(1 + churn) / ln(26e0)) + 0.20e0 * untested + 0.10e0 * least(1e0, ln(1 + files) / ln(61e0)), 6) AS risk FROM g""",
@@ -227,12 +230,11 @@ SELECT branch, round(0.30e0 * (1 - exp(-5 * blast)) + 0.25e0 * least(1e0, ln(1 +
 def change_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk of each branch: what its files reach, their complexity, churn, missing tests and number."""
     deltas = table(spark, sf_dir, "branch_deltas").select("branch", "file").distinct()
-    e = call_edges(spark, sf_dir)
     x = table(spark, sf_dir, "symbols").groupBy("file").agg(F.max("cyclomatic").alias("cx"))
-    u = e.where("src <> dst").select(F.col("dst").alias("file"), F.lit(1).alias("used")).distinct()
-    t = e.where(_is_test("src")).select(F.col("dst").alias("file"), F.lit(1).alias("tested")).distinct()
+    flag = lambda c: F.when(F.max(c) > 0, 1)
+    u = symbol_uses(spark, sf_dir).groupBy("file").agg(flag("files").alias("used"), flag("all_tests").alias("tested"))
     h = deltas.groupBy("file").agg(F.count("*").alias("churn"))
-    j = deltas.join(x, "file", "left").join(u, "file", "left").join(t, "file", "left").join(h, "file", "left")
+    j = deltas.join(x, "file", "left").join(u, "file", "left").join(h, "file", "left")
     g = j.groupBy("branch").agg(F.count("*").alias("files"), F.avg(F.col("used").isNotNull().cast("int")).alias("blast"), F.max(F.coalesce("cx", F.lit(0))).alias("cx"), F.avg("churn").alias("churn"), F.avg(F.col("tested").isNull().cast("int")).alias("untested"))
     risk = 0.30 * (1 - F.exp(-5 * F.col("blast"))) + 0.25 * M.squash(F.col("cx"), 30) + 0.15 * M.squash(F.col("churn"), 25) + 0.20 * F.col("untested") + 0.10 * M.squash(F.col("files"), 60)
     return g.select("branch", F.round(risk, 6).alias("risk"))
@@ -372,11 +374,11 @@ def param_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(
     "snapshot_diff",
-    """WITH a AS (SELECT path, max(hash) AS c FROM files WHERE NOT starts_with(path, 'larch') GROUP BY path), b AS (SELECT file AS path, max(file_hash) AS c FROM branch_deltas GROUP BY file)
+    """WITH a AS (SELECT path, max(hash) AS c FROM files GROUP BY path), b AS (SELECT file AS path, max(file_hash) AS c FROM branch_deltas GROUP BY file)
 SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' WHEN a.c IS NOT DISTINCT FROM b.c THEN 'unchanged' ELSE 'changed' END AS status FROM a FULL JOIN b ON a.path = b.path""",
 )
 def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of the index against those of the branches. The SQL still leaves out index files that start with 'larch'."""
+    """Files of the index against those of the branches."""
     a = table(spark, sf_dir, "files").groupBy("path").agg(F.max("hash").alias("c"))
     b = table(spark, sf_dir, "branch_deltas").groupBy(F.col("file").alias("path")).agg(F.max("file_hash").alias("c"))
     return S.snapshot_diff(a, b, ["path"], "c")
@@ -408,17 +410,16 @@ def branch_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query(
     "runtime_upsert",
-    """WITH r AS (SELECT DISTINCT * FROM runtime_calls WHERE symbol_id <> ''), a AS (SELECT symbol_id, source, sum(count) AS c, max(p95_ms) AS p, min(first_seen) AS f FROM r WHERE source IN ('otel', 'apm') GROUP BY ALL),
-b AS (SELECT symbol_id, 'otel' AS source, count(*) AS c, max(score) AS p, '2026' AS f FROM (SELECT DISTINCT query_id, symbol_id, score FROM fused_results) GROUP BY symbol_id)
+    """WITH r AS (SELECT DISTINCT * FROM runtime_calls WHERE symbol_id <> ''), a AS (SELECT symbol_id, source, sum(count) AS c, max(p95_ms) FILTER (NOT isnan(p95_ms)) AS p, min(first_seen) AS f FROM r GROUP BY ALL),
+b AS (SELECT symbol_id, 'otel' AS source, count(*) AS c, max(score) FILTER (NOT isnan(score)) AS p, '2026' AS f FROM (SELECT DISTINCT query_id, symbol_id, score FROM fused_results) GROUP BY symbol_id)
 SELECT coalesce(a.symbol_id, b.symbol_id) AS symbol_id, coalesce(a.source, b.source) AS source, (coalesce(a.c, 0) + coalesce(b.c, 0))::BIGINT AS count, coalesce(b.p, a.p) AS p95, coalesce(a.f, b.f) AS first_seen FROM a FULL JOIN b ON a.symbol_id = b.symbol_id AND a.source = b.source""",
 )
 def runtime_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch merged into a keyed state: counts add, latencies come from the batch, first sights stay.
-    The SQL still leaves out state rows of other sources than otel and apm."""
+    """A batch merged into a keyed state: counts add, latencies come from the batch, first sights stay."""
     r = table(spark, sf_dir, "runtime_calls").where("symbol_id <> ''").distinct()
-    state = r.groupBy("symbol_id", "source").agg(F.sum("count").alias("count"), F.max("p95_ms").alias("p95"), F.min("first_seen").alias("first_seen"))
+    state = r.groupBy("symbol_id", "source").agg(F.sum("count").alias("count"), F.max(F.when(~F.isnan("p95_ms"), F.col("p95_ms"))).alias("p95"), F.min("first_seen").alias("first_seen"))
     b = table(spark, sf_dir, "fused_results").select("query_id", "symbol_id", "score").distinct()
-    batch = b.groupBy("symbol_id", F.lit("otel").alias("source")).agg(F.count("*").alias("count"), F.max("score").alias("p95"), F.lit("2026").alias("first_seen"))
+    batch = b.groupBy("symbol_id", F.lit("otel").alias("source")).agg(F.count("*").alias("count"), F.max(F.when(~F.isnan("score"), F.col("score"))).alias("p95"), F.lit("2026").alias("first_seen"))
     return S.keyed_upsert(state, batch, ["symbol_id", "source"], ["count"], ["p95"], ["first_seen"])
 
 

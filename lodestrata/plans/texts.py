@@ -107,11 +107,10 @@ def path_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SIM = """WITH s AS (SELECT DISTINCT id, keywords, summary, byte_length FROM symbols WHERE lower(kind) IN ('function', 'method')),
 w AS (SELECT id, list_distinct(list_concat(coalesce(keywords, []), regexp_extract_all(lower(coalesce(summary, '')), '[a-z]{4,}'))) AS t, byte_length AS s FROM s),
-b AS (SELECT id, unnest(t) AS b FROM w), k AS (SELECT b FROM b GROUP BY b HAVING count(*) BETWEEN 2 AND 50),
-p AS (SELECT DISTINCT x.id AS k, y.id AS k2 FROM b x JOIN b y ON x.b = y.b AND x.id < y.id WHERE x.b IN (SELECT b FROM k)),
-f AS (SELECT k AS src, k2 AS dst, round(0.7e0 * CASE WHEN len(list_distinct(list_concat(a.t, c.t))) = 0 THEN 0 ELSE len(list_intersect(a.t, c.t)) / len(list_distinct(list_concat(a.t, c.t))) END
- + 0.3e0 * CASE WHEN a.s > 0 AND c.s > 0 THEN least(a.s, c.s) / greatest(a.s, c.s) ELSE 0 END, 6) AS similarity FROM p JOIN w a ON p.k = a.id JOIN w c ON p.k2 = c.id)
-SELECT * FROM f WHERE similarity >= 0.7"""
+f AS (SELECT a.id AS src, c.id AS dst, round(0.7e0 * len(list_intersect(a.t, c.t)) / len(list_distinct(list_concat(a.t, c.t))) + 0.3e0 * CASE WHEN a.s > 0 AND c.s > 0 THEN least(a.s, c.s) / greatest(a.s, c.s) ELSE 0 END, 6) AS similarity
+  FROM w a JOIN w c ON a.id < c.id AND len(a.t) > 0 AND len(c.t) > 0 AND least(len(a.t), len(c.t)) >= 0.571e0 * greatest(len(a.t), len(c.t)) AND list_has_any(a.t, c.t)),
+n AS (SELECT src AS id, dst AS other, similarity FROM f WHERE similarity >= 0.7 UNION ALL SELECT dst, src, similarity FROM f WHERE similarity >= 0.7)
+SELECT id, count(*) AS links, arg_min(other, (-similarity, other)) AS nearest, max(similarity) AS similarity FROM n GROUP BY id"""
 
 
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,8 +121,8 @@ def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("similar_symbols", _SIM)
 def similar_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of functions whose words and sizes are alike. The SQL still holds only pairs that share a word of 2 to 50 functions."""
-    return _similar(spark, sf_dir)
+    """Each function that others are like in words and size, with their number and the nearest of them."""
+    return C.nearest(_similar(spark, sf_dir))
 
 
 @REGISTRY.query("similar_clusters")

@@ -11,20 +11,44 @@ def write(spark, where, symbols, files=()):
     return str(where)
 
 
+SOURCES = [
+    ("a.main", "r/a.py", "main", "function", None, None, ["go", "only"]),
+    ("a.go", "r/a.py", "go", "function", None, None, []),
+    ("b.go", "r/b.py", "go", "function", None, None, []),
+    ("c.go", "r/c.py", "go", "function", None, None, []),
+    ("c.only", "r/c.py", "only", "function", None, None, None),
+    ("t.check", "r/tests/t.py", "check", "function", None, None, ["only", None, "missing"]),
+    ("x.go", "other/a.py", "go", "function", None, None, ["only"]),
+    ("n.one", None, "one", "function", None, None, ["go"]),
+]
+IMPORTS = [("r/a.py", "python", '[{"specifier": "./b", "names": ["go"]}]'), ("r/b.py", "python", "[]"), ("r/c.py", "python", None)]
+
+
 def test_ambiguous_names_keep_every_match(spark, tmp_path):
-    f = "function"
-    symbols = [
-        ("a.main", "r/a.py", "main", f, None, None, ["go", "only"]),
-        ("a.go", "r/a.py", "go", f, None, None, []),
-        ("b.go", "r/b.py", "go", f, None, None, []),
-        ("c.go", "r/c.py", "go", f, None, None, []),
-        ("c.only", "r/c.py", "only", f, None, None, None),
-        ("x.go", "other/a.py", "go", f, None, None, ["only"]),
-    ]
-    sf = write(spark, tmp_path / "sf", symbols, [("r/a.py", "python", '[{"specifier": "./b", "names": ["go"]}]'), ("r/b.py", "python", "[]"), ("r/c.py", "python", None)])
+    sf = write(spark, tmp_path / "sf", SOURCES + SOURCES[:1], IMPORTS)
     got = sorted(tuple(r) for r in graphs.call_graph(spark, sf).collect())
-    assert got == [("a.main", "a.go", "resolved"), ("a.main", "b.go", "imported"), ("a.main", "c.go", "inferred"), ("a.main", "c.only", "inferred")]
-    assert sorted(tuple(r) for r in ranking._centrality(spark, sf).collect()) == [("r/b.py", 1), ("r/c.py", 2)]
+    assert got == [("a.main", "a.go", "inferred", 1), ("a.main", "a.go", "resolved", 1), ("a.main", "b.go", "imported", 1), ("a.main", "c.only", "inferred", 1), ("t.check", "c.only", "inferred", 1)]
+    members = {r["id"]: (r["class"], r["members"]) for r in graphs.name_members(spark, sf).collect()}
+    assert members["c.go"] == ("a.go", 3) and members["x.go"] == ("x.go", 1) and "n.one" not in members
+    assert sorted(tuple(r) for r in ranking._centrality(spark, sf).collect()) == [("r/b.py", 1), ("r/c.py", 3)]
+
+
+def test_uses_of_symbols_are_counted_by_name(spark, tmp_path):
+    sf = write(spark, tmp_path / "sf", SOURCES, IMPORTS)
+    uses = {r["id"]: (r["own"], r["files"], r["callers"], r["tests"], r["all_tests"]) for r in graphs.symbol_uses(spark, sf).collect()}
+    assert uses["a.go"] == (1, 0, 0, 0, 0) and uses["b.go"] == (0, 1, 1, 0, 0) and uses["c.only"] == (0, 2, 2, 1, 1) and uses["x.go"] == (0, 0, 0, 0, 0)
+
+
+def test_graph_of_files_has_no_pairs_of_files(spark, tmp_path):
+    f = "function"
+    many = [(f"s{i}", f"r/f{i}.py", "go", f, None, None, ["go"]) for i in range(40)]
+    sf = write(spark, tmp_path / "sf", many + [("u", "r/u.py", "u", f, None, None, ["nothing"])])
+    edges, nodes = graphs.code_graph(spark, sf)
+    assert edges.count() == 80 and nodes.count() == 42
+    ranks = {r["file"]: r["rank"] for r in graphs.file_ranks(spark, sf).collect()}
+    assert len(ranks) == 41 and len({round(v, 8) for k, v in ranks.items() if k != "r/u.py"}) == 1 and ranks["r/u.py"] < ranks["r/f0.py"]
+    assert {r["component"] for r in graphs.code_cycles(spark, sf).collect()} == {"r/f0.py"} and graphs.code_cycles(spark, sf).count() == 40
+    assert {r["file"]: r["level"] for r in graphs.code_blast_radius(spark, sf).collect()} == {f"r/f{i}.py": min(i, 1) for i in range(40)}
 
 
 def test_class_hierarchy_has_no_depth_and_walks_both_ways(spark, tmp_path):

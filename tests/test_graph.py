@@ -68,3 +68,9 @@ def test_edges_from_groups_and_signals(spark):
     assert {(r["src"], r["dst"]): r["weight"] for r in fused.collect()} == {(1, 2): 0.6, (2, 3): 0.7}
     left = G.prune_leaves(make(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (1, 9)]), spark.createDataFrame([(9,)], "id int"))
     assert {tuple(r) for r in left.collect()} == {(1, 2), (2, 3), (1, 3), (1, 9)}
+
+
+def test_labels_settle_where_all_would_move_at_once(spark):
+    e = spark.createDataFrame([(a, b, 1.0) for a in (1, 2, 3) for b in (11, 12, 13)], "src int, dst int, weight double")
+    labels = {r["id"]: r["label"] for r in G.label_propagation(e).collect()}
+    assert len(labels) == 6 and len(set(labels.values())) == 1

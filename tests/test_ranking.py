@@ -99,3 +99,43 @@ def test_packing_tries_every_row(spark):
     rows = [("q", f"i{i:05}", f"f{i}", 5000.0 - i, 101 if i % 2 else 90) for i in range(3000)] + [("q", "last", "f0", 0.5, 10)]
     got = R.pack_budget(spark.createDataFrame(rows, "g string, id string, file string, score double, size int"), "g", "id", "file", "score", "size", 100)
     assert sorted((r["place"], r["id"], r["effective"]) for r in got.collect()) == [(1, "i00000", 5000.0), (2, "last", 0.25)]
+
+
+def test_packing_in_chunks_is_the_same_as_at_once(spark):
+    rng = random.Random(3)
+    rows = [(g, f"i{n:03}", f"f{rng.randint(0, 6)}", float(rng.randint(0, 12)), rng.randint(0, 60)) for g in "ab" for n in range(150)]
+    rows += [("a", "none", "f1", None, 5), ("a", "wide", "f1", 50.0, 500), ("b", "null", "f2", 9.0, None), ("c", "big", "f", 1.0, 101)]
+    df = spark.createDataFrame(rows, "g string, id string, file string, score double, size int")
+
+    def plain(group):
+        pool = sorted((r[1:] for r in rows if r[0] == group and r[3] is not None and r[4] is not None), key=lambda r: (-r[2], r[0]))
+        left, taken, out = 100, {}, []
+        while pool:
+            best = min(range(len(pool)), key=lambda i: (-pool[i][2] * 0.5 ** taken.get(pool[i][1], 0), i))
+            i, f, s, size = pool.pop(best)
+            if taken.get(f, 0) < 3 and size <= left:
+                out.append((len(out) + 1, i, s * 0.5 ** taken.get(f, 0)))
+                taken[f], left = taken.get(f, 0) + 1, left - size
+        return out
+
+    for chunk in (7, 40, 1000):
+        got = R.pack_budget(df, "g", "id", "file", "score", "size", 100, chunk=chunk).collect()
+        for g in "abc":
+            assert sorted((r["place"], r["id"], r["effective"]) for r in got if r["g"] == g) == plain(g), (chunk, g)
+    assert R.pack_budget(df.limit(0), "g", "id", "file", "score", "size", 100).count() == 0
+
+
+def test_channels_are_ranked_by_ranges(spark):
+    rng = random.Random(5)
+    a = [(f"k{i:03}", float(rng.randint(0, 9))) for i in range(300)]
+    df = spark.createDataFrame(a, "id string, v double").repartition(7)
+    other = spark.createDataFrame([("x", 3), ("y", 3), ("z", 0)], "id string, n int")
+    got = {(r["channel"], r["id"]): (r["rank"], r["weight"]) for r in R.rank_channels([(df, "v", "main", 1.0), (other, "n", "few", 2.0)], "id").collect()}
+    order = sorted((x for x in a if x[1] > 0), key=lambda x: (-x[1], x[0]))
+    assert got == {("main", k): (i, 1.0) for i, (k, _) in enumerate(order, 1)} | {("few", "x"): (1, 2.0), ("few", "y"): (2, 2.0)}
+
+
+def test_a_budget_is_filled_up_to_the_first_that_does_not_fit(spark):
+    rows = [("g", i, 1.0 / (1 + i), s) for i, s in enumerate([4, 0, 5, 0, 3, 0, 1])] + [("h", 0, 1.0, 0), ("k", 0, 1.0, 11), ("k", 1, 0.5, 0)]
+    got = R.fill_budget(spark.createDataFrame(rows, "g string, i int, rank double, size int"), "g", ["-rank", "i"], "size", 10)
+    assert sorted((r["g"], r["i"]) for r in got.collect()) == [("g", 0), ("g", 1), ("g", 2), ("g", 3), ("h", 0)]

@@ -62,6 +62,8 @@ VENDORED_HEADS = (
     r"\bpart of \S+\. licen[cs]e: see\b",
     r"(?m)^\s*(?:#|//|/\*!?|\*|--)\s*[\w.\-]+ v?\d+\.\d+(?:\.\d+)?\s*(?:\*/)?\s*$",
 )
+# How a line begins that declares a function or type, gives a value back or stores what a call gives.
+CODE_LINE = r"(?m)^[^\S\n]*+(?:(?:(?:export|async|public|private|protected|static)[^\S\n]++)*+(?:def|func|function|class|type|interface|struct|enum|impl|fn)\b|return\b|(?:(?:const|let|var|final)[^\S\n]++)?\w++[^\S\n]*+:?=[^\S\n]*+\w++\()"
 # The attributes that mark a path, and what a marked file is.
 ATTRIBUTES = {"linguist-generated": "generated", "linguist-vendored": "vendored"}
 
@@ -85,7 +87,8 @@ def text_mark(text: Column, long_line: int = 400, packed_share: float = 0.12, di
 
     A header is the comment lines that begin the text, four at most. Minified text has lines of
     ``long_line`` characters on average and next to no blanks (below ``packed_share``). Data are runs of
-    encoded bytes, or text of which ``digit_share`` are digits. A null or empty text has no mark.
+    encoded bytes, or text of which ``digit_share`` are digits and at most one line in 20 is code: a table of
+    numbers next to a type or function somebody wrote is none. A null or empty text has no mark.
     """
     head = F.regexp_extract(text, r"\A\x{feff}?(?:[^\S\n]*(?:#|//|/\*|\*|--|<!--|;|%)[^\n]*(?:\n|\z)){1,4}", 0)
     size = F.length(text)
@@ -98,7 +101,7 @@ def text_mark(text: Column, long_line: int = 400, packed_share: float = 0.12, di
         .when(head.rlike("(?i)" + "|".join(f"(?:{p})" for p in GENERATED_HEADS)), "generated")
         .when(head.rlike("(?i)" + "|".join(f"(?:{p})" for p in VENDORED_HEADS)), "vendored")
         .when((size >= 200) & text.rlike(r"[A-Za-z0-9+/=_\-]{300,}"), "data")
-        .when((size >= 200) & (digits / size >= digit_share), "data")
+        .when((size >= 200) & (digits / size >= digit_share) & (F.regexp_count(text, F.lit(CODE_LINE)) * 20 <= lines), "data")
         .when((size >= long_line) & (size / lines >= long_line) & (blanks / size < packed_share), "minified")
         .when((size >= 200) & names.isNotNull() & (lines >= 8) & _numbered(text, lines), "generated")
     )

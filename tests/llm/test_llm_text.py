@@ -48,6 +48,8 @@ def test_names_and_texts(spark):
         ("r/a/made.py", "# This file was automatically generated from x.schema; do not change it by hand.\nA = 1\n"),
         ("r/a/copy.py", "# Copied from lib 1.2.3, keep in sync with upstream\ndef f():\n    return 1\n"),
         ("r/a/data.py", "D = [" + "0x1f, 0x2a, " * 200),
+        ("r/a/table.py", "class Lease:\n    pass\nTABLE = [" + "0x1f, 0x2a, " * 40 + "0]\n"),
+        ("r/a/rows.js", "const rows = [\n" + '  {"id": 1742, "w": 0.2519},\n' * 400 + "];\nfunction row(i) {\n  return rows[i];\n}\n"),
         ("r/a/null.py", None),
         ("r/a/empty.py", ""),
         ("r/a/long.py", "def f(x):\n    return x + y\n" * 60_000),
@@ -57,7 +59,7 @@ def test_names_and_texts(spark):
     ]
     files = [p for p, _ in texts] + ["r/vendor/z.go", "vendor/src/z.go", "r/src/vendors/z.go", "r/src/app.min.js", "r/src/min.go", "r/only_path.py"]
     got = {p: m for p, (m, _) in marks(spark, files, texts).items()}
-    assert got == {"r/a/min.js": "minified", "r/a/made.py": "generated", "r/a/copy.py": "vendored", "r/a/data.py": "data", "r/a/long.js": "data", "r/a/fields.py": "data", "r/a/stubs.py": "generated", "r/vendor/z.go": "vendored", "r/src/app.min.js": "generated"}
+    assert got == {"r/a/min.js": "minified", "r/a/made.py": "generated", "r/a/copy.py": "vendored", "r/a/data.py": "data", "r/a/rows.js": "data", "r/a/long.js": "data", "r/a/fields.py": "data", "r/a/stubs.py": "generated", "r/vendor/z.go": "vendored", "r/src/app.min.js": "generated"}
 
 
 def test_no_files(spark):

@@ -1,12 +1,12 @@
 """Encoding of a whole corpus with a public byte-level BPE tokenizer, split at forced boundaries.
 
 A pair of bytes that stands inside no vocabulary token can never be merged over, so a cut between the two
-is certain. Between a visible character and white space the pre-tokenizer of these vocabularies cuts as
-well, and what follows never changes what was before; so fragments cut where both hold can be encoded on
-their own and put one after another. Long runs without white space are pre-tokenized and then cut at the
-certain byte pairs inside each piece.
+is certain: what lies left and right of it is encoded on its own and put together again. The table of such
+pairs is made from the vocabulary. Texts are first cut before white space, as nearly all of these cuts are
+certain by the table, and the others are made by the pre-tokenizer; then each stretch is pre-tokenized
+and each piece cut at all its certain byte pairs.
 
-Fragments repeat very often, so each worker keeps the ids of those it has seen, up to a fixed number.
+Stretches and fragments repeat very often, so each worker keeps the ids of those it has seen, up to a fixed number.
 Texts of over ``long_chars`` characters become rows of their own, one for every so many characters, so
 that one very long text is shared by many tasks and only its ids come together again.
 """
@@ -29,7 +29,8 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 FRAGMENT = regex.compile(rf"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
 PIECES = regex.compile(PATTERN)
-KEPT, SHORT, LONG_RUN = 200_000, 48, 400
+#: How many stretches and fragments a worker keeps, and the longest that it keeps.
+KEPT, SHORT = 200_000, 48
 
 
 class ForcedBoundaryEncoder:
@@ -48,39 +49,46 @@ class ForcedBoundaryEncoder:
         #: joined[a << 8 | b]: whether some token holds byte a before byte b
         self.joined = bytes(joined)
         self.seen: dict[str, list[int]] = {}
+        self.parts: dict[bytes, list[int]] = {}
 
     def certain_cut(self, a: int, b: int) -> bool:
+        """Whether no token holds byte a before byte b, so that a text may always be cut between them."""
         return not self.joined[a << 8 | b]
 
-    def _run(self, text: str) -> list[int]:
-        """The ids of a long run: each piece is cut at its certain byte pairs."""
+    def forced(self, piece: bytes) -> list[bytes]:
+        """A piece cut at all its certain byte pairs."""
+        joined = self.joined
+        at = [0, *(i for i in range(1, len(piece)) if not joined[piece[i - 1] << 8 | piece[i]]), len(piece)]
+        return [piece[a:b] for a, b in zip(at, at[1:])]
+
+    def _stretch(self, text: str) -> list[int]:
+        """The ids of a stretch: its pieces, cut at their certain byte pairs, each fragment encoded alone."""
         ids: list[int] = []
         for piece in PIECES.findall(text):
-            raw, start = piece.encode(), 0
-            for i in range(1, len(raw)):
-                if not self.joined[raw[i - 1] << 8 | raw[i]]:
-                    ids += self.core._encode_single_piece(raw[start:i])
-                    start = i
-            ids += self.core._encode_single_piece(raw[start:])
+            for part in self.forced(piece.encode()):
+                found = self.parts.get(part)
+                if found is None:
+                    found = self.core._encode_single_piece(part)
+                    if len(part) <= SHORT:
+                        if len(self.parts) >= KEPT:
+                            self.parts.clear()
+                        self.parts[part] = found
+                ids += found
         return ids
 
-    def fragments(self, text: str) -> list[str]:
-        """The text in fragments; each but the first begins with white space behind a visible character."""
-        return FRAGMENT.findall(text)
-
     def encode(self, text: str | None) -> list[int]:
         ids: list[int] = []
         if not text:
             return ids
         seen = self.seen
-        for fragment in FRAGMENT.findall(text):
-            part = seen.get(fragment)
+        for stretch in FRAGMENT.findall(text):
+            part = seen.get(stretch)
             if part is None:
-                part = self.core.encode_ordinary(fragment) if len(fragment) < LONG_RUN else self._run(fragment)
-                if len(fragment) <= SHORT:
+                part = self._stretch(stretch)
+                if len(stretch) <= SHORT:
                     if len(seen) >= KEPT:
                         seen.clear()
-                    seen[fragment] = part
+                    seen[stretch] = part
             ids += part
         return ids
 

@@ -135,6 +135,23 @@ def test_encoding_is_exact(reference):
         assert sum((e.encode(b) for b in e.blocks(text, 100)), []) == reference(text)
 
 
+def test_forced_boundaries_are_those_of_the_vocabulary(reference):
+    e = E.encoder(E.VOCABULARY)
+    blank = [e.certain_cut(ord(c), ord(" ")) for c in "abcxyzABZ019.,;"]
+    assert all(blank) and not e.certain_cut(ord("t"), ord("h"))
+    rng = random.Random(9)
+    cut = 0
+    for _ in range(300):
+        piece = "".join(rng.choice("abqxzéß日本") for _ in range(rng.randint(1, 30)))
+        parts = e.forced(piece.encode())
+        cut += len(parts) - 1
+        assert b"".join(parts) == piece.encode()
+        assert all(e.certain_cut(a[-1], b[0]) for a, b in zip(parts, parts[1:]))
+        assert not any(e.certain_cut(a, b) for p in parts for a, b in zip(p, p[1:]))
+        assert sum((e.core._encode_single_piece(p) for p in parts), []) == e.core._encode_single_piece(piece.encode())
+    assert cut > 50
+
+
 def test_corpus_encoding(spark, reference):
     texts = {1: "Hello  world\n", 2: None, 3: "", 4: "lorem ipsum dolor " * 500, 5: "ohne Pause" * 400, 6: " \n\n ", 7: "日本語 " * 300}
     df = spark.createDataFrame([(k, v, "ids") for k, v in texts.items()], "doc_id bigint, text string, ids string")

@@ -13,6 +13,7 @@ out equal: all spellings that look alike reach the same words, or the same entry
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import uuid
 from collections.abc import Iterator, Sequence
@@ -41,7 +42,7 @@ BLANKS = "   -   　"
 PROTOTYPE = {ord(c): latin for latin, others in LOOKALIKES.items() for c in others}
 _IGNORED, _BLANK = regex.compile(f"[{IGNORABLE}]+"), regex.compile(f"[{BLANKS}]")
 _WIDE = regex.compile("[！-～｡-ￜ￠-￮]+")
-_TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+_TOKEN, _ASCII = regex.compile(r"[\p{L}\p{M}]+"), re.compile("[A-Za-z]+")
 #: Letters that have look-alikes: only tokens with one of them can be spelt in several ways.
 _MIXABLE = frozenset(LOOKALIKES) | frozenset(map(chr, PROTOTYPE))
 IGNORED_COST, SAME_COST, LOOKALIKE_COST, OTHER_COST = 0, 0, 0, 1
@@ -49,6 +50,8 @@ IGNORED_COST, SAME_COST, LOOKALIKE_COST, OTHER_COST = 0, 0, 0, 1
 
 def fold(text: str) -> str:
     """Widths folded, ignorables gone, blanks as spaces, accents composed: all that is no matter of spelling."""
+    if text.isascii():
+        return text
     text = _BLANK.sub(" ", _IGNORED.sub("", text))
     if _WIDE.search(text):
         text = _WIDE.sub(lambda m: unicodedata.normalize("NFKC", m[0]), text)
@@ -81,7 +84,7 @@ class Trie:
         for c in token:
             moved: list[tuple[dict, int]] = []
             alike = _ALIKE.get(c, c)
-            if _IGNORED.match(c):
+            if c not in _ALIKE and not c.isascii() and _IGNORED.match(c):
                 moved += [(node, cost + IGNORED_COST) for node, cost in states]
             for node, cost in states:
                 for other in alike:
@@ -118,7 +121,12 @@ class Speller:
         return out
 
     def text(self, text: str | None) -> str | None:
-        return None if text is None else _TOKEN.sub(lambda m: self.token(m[0]), fold(text))
+        if text is None:
+            return None
+        text = fold(text)
+        # each token of a text is spelt once, and few texts have one that changes
+        changed = {t: out for t in set((_ASCII if text.isascii() else _TOKEN).findall(text)) if (out := self.seen.get(t) or self.token(t)) != t}
+        return _TOKEN.sub(lambda m: changed.get(m[0], m[0]), text) if changed else text
 
 
 #: the one speller of a worker, by the vocabulary it was made from

@@ -161,7 +161,8 @@ def canonical_texts(docs: DataFrame, size: int = VOCABULARY) -> DataFrame:
         for s in texts:
             yield pd.Series([_SPELLERS[key].text(t) for t in s], dtype=object)
 
-    return docs.select("doc_id", "text", F.pandas_udf(spell, "string")("text").alias("canonical"))
+    # not pushed through filters, as it would be run once more for them
+    return docs.select("doc_id", "text", F.pandas_udf(spell, "string").asNondeterministic()("text").alias("canonical"))
 
 
 def same_looking_pairs(canonical: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ pairs is made from the vocabulary. Texts are first cut before white space, as ne
 certain by the table, and the others are made by the pre-tokenizer; then each stretch is pre-tokenized
 and each piece cut at all its certain byte pairs.
 
-Stretches and fragments repeat very often, so each worker keeps the ids of those it has seen, up to a fixed number.
+Stretches and pieces repeat very often, so each worker keeps the ids of those it has seen, up to a fixed number.
 Texts of over ``long_chars`` characters become rows of their own, one for every so many characters, so
 that one very long text is shared by many tasks and only its ids come together again.
 """
@@ -14,6 +14,7 @@ that one very long text is shared by many tasks and only its ids come together a
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -27,9 +28,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The pre-tokenizer pattern of the vocabulary, and white space as it understands it.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLANKS = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-FRAGMENT = regex.compile(rf"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
+FRAGMENT = re.compile(rf"[{BLANKS}]*[^{BLANKS}]+|[{BLANKS}]+")
 PIECES = regex.compile(PATTERN)
-#: How many stretches and fragments a worker keeps, and the longest that it keeps.
+#: How many stretches and pieces a worker keeps, and the longest that it keeps.
 KEPT, SHORT = 200_000, 48
 
 
@@ -49,7 +50,7 @@ class ForcedBoundaryEncoder:
         #: joined[a << 8 | b]: whether some token holds byte a before byte b
         self.joined = bytes(joined)
         self.seen: dict[str, list[int]] = {}
-        self.parts: dict[bytes, list[int]] = {}
+        self.pieces: dict[str, list[int]] = {}
 
     def certain_cut(self, a: int, b: int) -> bool:
         """Whether no token holds byte a before byte b, so that a text may always be cut between them."""
@@ -61,19 +62,21 @@ class ForcedBoundaryEncoder:
         at = [0, *(i for i in range(1, len(piece)) if not joined[piece[i - 1] << 8 | piece[i]]), len(piece)]
         return [piece[a:b] for a, b in zip(at, at[1:])]
 
+    def _piece(self, piece: str) -> list[int]:
+        """The ids of a piece: its fragments between certain byte pairs, each encoded alone."""
+        ids: list[int] = []
+        for part in self.forced(piece.encode()):
+            ids += self.core._encode_single_piece(part)
+        if len(piece) <= SHORT:
+            if len(self.pieces) >= KEPT:
+                self.pieces.clear()
+            self.pieces[piece] = ids
+        return ids
+
     def _stretch(self, text: str) -> list[int]:
-        """The ids of a stretch: its pieces, cut at their certain byte pairs, each fragment encoded alone."""
         ids: list[int] = []
         for piece in PIECES.findall(text):
-            for part in self.forced(piece.encode()):
-                found = self.parts.get(part)
-                if found is None:
-                    found = self.core._encode_single_piece(part)
-                    if len(part) <= SHORT:
-                        if len(self.parts) >= KEPT:
-                            self.parts.clear()
-                        self.parts[part] = found
-                ids += found
+            ids += self.pieces.get(piece) or self._piece(piece)
         return ids
 
     def encode(self, text: str | None) -> list[int]:
@@ -150,7 +153,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, long_chars: int
         for s in texts:
             yield pd.Series([len(run(t)) for t in s], dtype="int64")
 
-    count = F.pandas_udf(count_of, "bigint")
+    count = F.pandas_udf(count_of, "bigint").asNondeterministic()  # not run once more for a filter on the counts
     short = docs.where(F.col("text").isNull() | (F.length("text") <= long_chars)).select("doc_id", *keep, count("text").alias("n_tokens"))
     parts = _long_blocks(docs, vocabulary, long_chars).select("doc_id", count("text").alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_tokens"))
     return short.unionByName(docs.where(F.length("text") > long_chars).select("doc_id", *keep).join(parts, "doc_id").select("doc_id", *keep, "n_tokens"))

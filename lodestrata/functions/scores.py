@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def clamp(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), x))
@@ -27,9 +29,9 @@ def cosine(a: Column, b: Column) -> Column:
 def mean_pool(vectors: Column, mask: Column) -> Column:
     """The mean of the vectors that the mask keeps, scaled to length one; an empty one where it keeps none."""
     kept = F.filter(vectors, lambda v, i: F.element_at(mask, i + 1) != 0)
-    total = F.aggregate(F.slice(kept, 2, F.greatest(F.size(kept) - 1, F.lit(0))), F.element_at(kept, 1), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
-    norm = F.sqrt(dot(total, total))
-    return F.when(F.size(kept) == 0, F.array().cast("array<double>")).when(norm > 0, F.transform(total, lambda x: x / norm)).otherwise(total)
+    total = lambda k: F.aggregate(F.slice(k, 2, F.greatest(F.size(k) - 1, F.lit(0))), F.element_at(k, 1), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    scaled = lambda t: let(F.sqrt(dot(t, t)), lambda n: F.when(n > 0, F.transform(t, lambda x: x / n)).otherwise(t))
+    return let(kept, lambda k: F.when(F.size(k) == 0, F.array().cast("array<double>")).otherwise(let(total(k), scaled)))
 
 
 def banded(x: Column, bands: Sequence[tuple[float, str]], rest: str) -> Column:

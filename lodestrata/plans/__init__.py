@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import code, general, graphs, ranking, reports, texts
+from . import code, context, general, graphs, ranking, reports, texts
 from .registry import Registry
 
 
 def registries() -> list[Registry]:
-    return [ranking.REGISTRY, graphs.REGISTRY, code.REGISTRY, reports.REGISTRY, texts.REGISTRY, general.REGISTRY]
+    return [ranking.REGISTRY, graphs.REGISTRY, code.REGISTRY, context.REGISTRY, reports.REGISTRY, texts.REGISTRY, general.REGISTRY]

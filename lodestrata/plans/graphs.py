@@ -472,6 +472,17 @@ def gateways_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gateways(spark, sf_dir)
 
 
+def _class_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, dst: the classes of names that each symbol calls."""
+    return calls_by_name(spark, sf_dir).join(name_classes(spark, sf_dir), ["repo", "name"]).select(F.col("caller").alias("id"), F.col("representative").alias("dst"))
+
+
+def class_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst: which classes of names call which, as their smallest ids."""
+    members = name_members(spark, sf_dir).select("id", F.col("class").alias("src"))
+    return _class_calls(spark, sf_dir).join(members, "id").select("src", "dst").distinct()
+
+
 @REGISTRY.query(
     "signal_chains",
     _CALLS
@@ -483,12 +494,9 @@ SELECT seed, class, min(level)::INTEGER AS level FROM w GROUP BY ALL""",
 )
 def signal_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every way in calls, directly or through others, up to five calls on, as classes of names (`name_members`)."""
-    members = Cuts(spark).cut(name_members(spark, sf_dir).select("id", "class"))
-    calls = calls_by_name(spark, sf_dir).join(name_classes(spark, sf_dir), ["repo", "name"]).select(F.col("caller").alias("id"), F.col("representative").alias("dst"))
-    calls = Cuts(spark).cut(calls)
     ways = gateways(spark, sf_dir).select(F.concat(F.lit(WAY), "id").alias("src"), "id")
-    first = ways.join(calls, "id").select("src", "dst")
-    between = calls.join(members, "id").select(F.col("class").alias("src"), "dst").distinct()
+    first = Cuts(spark).cut(ways.join(_class_calls(spark, sf_dir), "id").select("src", "dst"))
+    between = class_edges(spark, sf_dir)
     found = G.bfs(first.unionByName(between), first.select(F.col("src").alias("id")), 5).where("level > 0")
     return found.select(F.substring("seed", len(WAY) + 1, 2**31 - 1).alias("seed"), F.col("id").alias("class"), "level")
 

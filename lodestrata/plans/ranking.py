@@ -12,7 +12,7 @@ from ..functions.text import ABBREVIATIONS, json_list, raw_tokens, stem_sql
 from ..operators import ranking as R
 from ..session import Cuts
 from ..tables import table
-from .graphs import _CALLS, _RANKED, file_ranks, symbol_uses
+from .graphs import _CALLS, _IMPORTED, _RANKED, file_ranks, import_edges, symbol_uses
 from .registry import Registry
 
 REGISTRY = Registry()
@@ -338,19 +338,25 @@ def query_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query(
     "related_symbols",
     """WITH s AS (SELECT DISTINCT id, file, name FROM symbols), t AS (SELECT * FROM s WHERE id = (SELECT min(symbol_id) FROM probe_symbols)),
-k AS (SELECT id, file, list_distinct(regexp_extract_all(lower(regexp_replace(coalesce(name, ''), '([a-z])([A-Z])', '\\1_\\2', 'g')), '[a-z0-9]{2,}')) AS w FROM s)
-SELECT k.id, (CASE WHEN k.file = t.file THEN 3e0 ELSE 0e0 END + 0.5e0 * len(list_intersect(k.w, tk.w))) AS score FROM k, t JOIN k tk ON tk.id = t.id
-WHERE k.id <> t.id AND (k.file = t.file OR len(list_intersect(k.w, tk.w)) > 0)""",
+k AS (SELECT id, file, list_distinct(regexp_extract_all(lower(regexp_replace(coalesce(name, ''), '([a-z])([A-Z])', '\\1_\\2', 'g')), '[a-z0-9]{2,}')) AS w FROM s)"""
+    + _IMPORTED
+    + """, co AS (SELECT DISTINCT b.dst AS file FROM im a JOIN im b ON a.src = b.src WHERE a.dst IN (SELECT file FROM t))
+SELECT k.id, (CASE WHEN k.file = t.file THEN 3e0 WHEN k.file IN (SELECT file FROM co) THEN 1.5e0 ELSE 0e0 END + 0.5e0 * len(list_intersect(k.w, tk.w))) AS score FROM k, t JOIN k tk ON tk.id = t.id
+WHERE k.id <> t.id AND (k.file = t.file OR k.file IN (SELECT file FROM co) OR len(list_intersect(k.w, tk.w)) > 0)""",
 )
 def related_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols related to one: by its file and by the words of its name."""
+    """Symbols related to one: in its file, in a file that one importer of its file imports too, or by the words of its name."""
     rows = symbols(spark, sf_dir, "id", "file", "name")
     words = rows.select("id", "file", F.array_distinct(raw_tokens(F.col("name"))).alias("w"))
     first = table(spark, sf_dir, "probe_symbols").agg(F.min("symbol_id").alias("id"))
     one = words.join(first, "id").select(F.col("id").alias("tid"), F.col("file").alias("tfile"), F.col("w").alias("tw"))
+    e = Cuts(spark).cut(import_edges(spark, sf_dir))
+    importers = e.join(one.select(F.col("tfile").alias("dst")), "dst", "left_semi").select("src")
+    co = e.join(importers, "src", "left_semi").select(F.col("dst").alias("file"), F.lit(True).alias("co")).distinct()
     shared = F.size(F.array_intersect("w", "tw"))
-    near = words.crossJoin(F.broadcast(one)).where((F.col("id") != F.col("tid")) & ((F.col("file") == F.col("tfile")) | (shared > 0)))  # one row
-    return near.select("id", (F.when(F.col("file") == F.col("tfile"), 3.0).otherwise(0.0) + 0.5 * shared).alias("score"))
+    place = F.when(F.col("file") == F.col("tfile"), 3.0).when(F.col("co"), 1.5).otherwise(0.0)
+    near = words.join(co, "file", "left").crossJoin(F.broadcast(one)).where((F.col("id") != F.col("tid")) & ((place > 0) | (shared > 0)))  # one row
+    return near.select("id", (place + 0.5 * shared).alias("score"))
 
 
 @REGISTRY.query(

@@ -153,9 +153,10 @@ def call_owners(nodes: DataFrame) -> DataFrame:
 
 def hashed_vector(text: Column, size: int = 64) -> Column:
     """A vector of length one from the trigrams of a text: an embedding that needs no model."""
-    from ..functions.text import trigrams
+    from ..functions.text import let, trigrams
 
     slots = F.transform(trigrams(text), lambda g: F.pmod(F.xxhash64(g), F.lit(size)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    counts = let(slots, lambda at: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(at, lambda s: s == i)).cast("double")))
+    length = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x))
+    # each is bound once, as an expression inside a lambda is worked out again for every element
+    return let(counts, lambda c: let(length(c), lambda n: F.transform(c, lambda x: F.when(n > 0, x / n).otherwise(0.0))))

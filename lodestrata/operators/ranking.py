@@ -209,36 +209,37 @@ def pack_budget(ranked: DataFrame, group: str, key: str, file: str, score: str,
     order = Window.partitionBy("g").orderBy(F.desc("s"), "k")
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
-        left, placed, taken, at, out = float(budget), 0, {}, g["g"].iloc[0], []
-        for what, f, n, had in zip(g["what"], g["f"], g["n"], g["left"], strict=True):
+        left, placed, taken, at, out, items = float(budget), 0, {}, g["g"].iloc[0], [], []
+        for what, k, f, s, z, n, had in zip(*(g[c].tolist() for c in ("what", "k", "f", "s", "z", "n", "left")), strict=True):
             if what == "state":
                 left, placed = had, int(n)
             elif what == "file":
                 taken[f] = int(n)
-        items = g[g["what"].isin(["row", "wait"])].sort_values(["s", "k"], ascending=[False, True], kind="stable")
-        fresh = items[items["what"] == "row"]
+            else:
+                items.append((-s, k, f, z, what))
+        items.sort(key=lambda x: x[:2])
+        fresh = [x for x in items if x[4] == "row"]
         more = len(fresh) >= chunk  # the group may have rows beyond this chunk
-        floor = fresh["s"].iloc[-1] if more else -1.0
+        floor = -fresh[-1][0] if more else -1.0
         queues: dict = {}
-        for i, (k, f, s, z) in enumerate(items[["k", "f", "s", "z"]].itertuples(index=False, name=None)):
-            queues.setdefault(f, deque()).append((i, k, s, z))
-        head = lambda f: (-(queues[f][0][2] * decay ** taken.get(f, 0)), queues[f][0][0], f)
-        heap = [(*head(f)[:2], j, f) for j, f in enumerate(queues) if taken.get(f, 0) < most_per_file]
+        for i, (s, k, f, z, _) in enumerate(items):
+            queues.setdefault(f, deque()).append((i, k, -s, z))
+        head = lambda f: (-(queues[f][0][2] * decay ** taken.get(f, 0)), queues[f][0][0])
+        heap = [(*head(f), f) for f in queues if taken.get(f, 0) < most_per_file]  # places are unique, so files are not compared
         heapify(heap)
         while heap and -heap[0][0] >= floor:
-            _, _, j, f = heappop(heap)
+            _, _, f = heappop(heap)
             _, k, s, z = queues[f].popleft()
             n = taken.get(f, 0)
             if z <= left:
                 taken[f], left, placed = n + 1, left - z, placed + 1
                 out.append(("placed", at, placed, k, f, s * decay**n, z, n, left, False))
             if queues[f] and taken.get(f, 0) < most_per_file:
-                heappush(heap, (*head(f)[:2], j, f))
+                heappush(heap, (*head(f), f))
         if more:
-            end = fresh.iloc[-1]
-            out.append(("state", at, placed, end["k"], None, end["s"], 0.0, placed, left, True))
+            out.append(("state", at, placed, fresh[-1][1], None, -fresh[-1][0], 0.0, placed, left, True))
             out += [("file", at, 0, None, f, 0.0, 0.0, n, left, False) for f, n in taken.items()]
-            for _, _, _, f in heap:
+            for _, _, f in heap:
                 sizes: dict = {}
                 for _, k, s, z in queues[f]:  # behind as many of its file that are no larger, an item is never placed
                     if z <= left and sum(c for y, c in sizes.items() if y <= z) < most_per_file:
@@ -250,7 +251,9 @@ def pack_budget(ranked: DataFrame, group: str, key: str, file: str, score: str,
     while True:
         best = blank(rest.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= chunk))
         given = best if state is None else best.unionByName(state)
-        done = cuts.cut(given.groupBy("g").applyInPandas(pack, shape))
+        # few bytes, but work for all cores; as many parts as the window has would be taken for the same shuffle
+        spread = given.repartition(2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1, "g")
+        done = cuts.cut(spread.groupBy("g").applyInPandas(pack, shape))
         found.append(done.where("what = 'placed'").select(F.col("g").alias(group), "place", F.col("k").alias(key), F.col("s").alias("effective")))
         state = done.where("what <> 'placed'")
         ends = state.where("what = 'state'").select("g", F.col("s").alias("es"), F.col("k").alias("ek"), F.col("left").alias("el"))

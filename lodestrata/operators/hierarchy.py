@@ -77,7 +77,8 @@ def solve_links(
     )
     done, active = [walk.where("state is not null")], walk.where("state is null")
     everything = walk
-    rounds, longest = 0, splitter_rate * (math.log(max(2, nodes.count())) + 10)
+    rounds, known_nodes = 0, nodes.count()
+    longest = splitter_rate * (math.log(max(2, known_nodes)) + 10)
     while not active.isEmpty():
         known = everything.select(F.col("k").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("seg").alias("seg2"), F.col("lab").alias("lab2"), F.col("state").alias("state2"))
         joined = active.drop("state").join(known, "ptr", "left")
@@ -99,7 +100,7 @@ def solve_links(
         active = new.where("state is null")
         everything = _union([*done, active])
         rounds += 1
-        if 2**rounds > 64 * longest + nodes.count():
+        if 2**rounds > 64 * longest + known_nodes:
             raise RuntimeError("the walk does not end")
     walks = everything
 
@@ -119,8 +120,8 @@ def _solve_reduced(small: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame |
     when doubling leaves the size of the image as it was, the map is one-to-one on it, so it is the cycles.
     """
     done, active, image = [small.where("ended is not null")], small.where("ended is null"), -1
-    everything = small
-    while not active.isEmpty():
+    everything, now = small, active.count()
+    while now:
         known = everything.select(F.col("k").alias("ptr"), F.col("ptr").alias("ptr2"), F.col("ended").alias("ended2"))
         new = cuts.cut(
             active.select("k", "ptr")

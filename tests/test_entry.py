@@ -28,7 +28,7 @@ def test_flagship(spark, sf):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["bm25_topk", "p3_found", "p6_found", "graph_khop", "point_resolution", "tool_latency", "branch_overlay", "delete_safety", "similar_symbols", "session_budget"])
+@pytest.mark.parametrize("name", ["bm25_topk", "p3_found", "p6_found", "graph_khop", "point_resolution", "tool_latency", "branch_overlay", "delete_safety", "similar_symbols", "session_budget", "call_graph", "class_hierarchy", "code_pagerank", "symbol_search", "fused_edges", "dead_code", "repo_map", "call_hierarchy", "task_context", "pooled_vectors", "contract_stability"])
 def test_against_sql(spark, sf, name):
     df = entry.queries()[name](spark, sf)
     found = views(sf).sql(entry.oracle_sql()[name])

@@ -282,11 +282,11 @@ def code_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def file_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file, rank: PageRank of the files in the graph of code, rounded to 10 places."""
     edges, nodes = code_graph(spark, sf_dir)
-    ranks = G.pagerank(edges, nodes, rounds=RANK_ROUNDS)
+    ranks = G.pagerank(edges, nodes, rounds=RANK_ROUNDS, tolerance=0.0)
     return ranks.where(~F.contains("id", F.lit("#"))).select(F.col("id").alias("file"), F.round("score", 10).alias("rank"))
 
 
-#: Rounds of PageRank over code; the files that two rounds and more lie behind count 0.85 a round.
+#: Rounds of PageRank over code, always as many, so that ranks do not depend on when a run settles; two are one step from file to file.
 RANK_ROUNDS = 12
 _RANKED = _CODE + f""", dg AS (SELECT src, count(*) AS deg FROM ce GROUP BY src), ln AS (
   SELECT ce.src, ce.dst, 1e0 / deg AS w FROM ce JOIN dg ON ce.src = dg.src WHERE ce.src <> ce.dst UNION ALL SELECT id, id, 0e0 FROM cn UNION ALL SELECT id, NULL, 1e0 FROM cn WHERE id NOT IN (SELECT src FROM dg)),

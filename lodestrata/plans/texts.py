@@ -113,22 +113,23 @@ n AS (SELECT src AS id, dst AS other, similarity FROM f WHERE similarity >= 0.7
 SELECT id, count(*) AS links, arg_min(other, (-similarity, other)) AS nearest, max(similarity) AS similarity FROM n GROUP BY id"""
 
 
-def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _worded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, t, byte_length: the functions with the words that they are compared by."""
     s = symbols(spark, sf_dir, "id", "kind", "keywords", "summary", "byte_length").where(F.lower("kind").isin("function", "method")).drop("kind").distinct()
     t = F.concat(F.coalesce("keywords", F.array().cast("array<string>")), F.regexp_extract_all(F.lower(F.coalesce("summary", F.lit(""))), F.lit("[a-z]{4,}"), 0))
-    return C.similar_pairs(s.withColumn("t", t), "id", "t", "byte_length", 0.7)
+    return s.select("id", t.alias("t"), "byte_length")
 
 
 @REGISTRY.query("similar_symbols", _SIM)
 def similar_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each function that others are like in words and size, with their number and the nearest of them."""
-    return C.nearest(_similar(spark, sf_dir))
+    return C.similar_nearest(_worded(spark, sf_dir), "id", "t", "byte_length", 0.7)
 
 
 @REGISTRY.query("similar_clusters")
 def similar_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Their clusters, with each function's number of pairs."""
-    return C.clusters(_similar(spark, sf_dir))
+    return C.similar_clusters(_worded(spark, sf_dir), "id", "t", "byte_length", 0.7)
 
 
 @REGISTRY.query("order_cube", "SELECT c_mktsegment, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY CUBE (c_mktsegment, o_orderpriority)")

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +140,34 @@ def test_similar_records_share_common_terms(spark):
         want = {(x[0], y[0]): score(x, y) for x in recs for y in recs if x[0] < y[0] and score(x, y) >= least}
         got = [(r["src"], r["dst"], r["similarity"]) for r in C.similar_pairs(df, "id", "t", "s", least).collect()]
         assert len(got) == len(want) and all(abs(want[a, b] - v) < 2e-6 for a, b, v in got)
+
+
+def test_similar_records_by_buckets(spark):
+    """Scores are rounded as SQL does, one pair at the threshold only by rounding; counts, nearest and clusters are those of the pairs."""
+    import random
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    recs = [(f"r{i:03}", rng.sample(words[: rng.choice([6, 40])], rng.randint(1, 6)), rng.choice([None, 0, 100, 1600, 1601, 1599])) for i in range(250)]
+    recs += [("r000", ["w0", "w1"], 5), (None, ["w0", "w1"], 5), ("half1", ["h0", "h1"], 45), ("half2", ["h0", "h1"], 1600)]
+    recs += [("up1", [f"u{i}" for i in range(4)], 1000000), ("up2", [f"u{i}" for i in range(3)] + ["u9"], 931032), ("long1", [f"l{i}" for i in range(60)], 9), ("long2", [f"l{i}" for i in range(45)], 9)]
+    df = spark.createDataFrame(recs, "id string, t array<string>, s long")
+
+    def score(x, y):
+        a, b, s, z = {*x[1]}, {*y[1]}, x[2] or 0, y[2] or 0
+        return math.floor((0.7 * len(a & b) / len(a | b) + 0.3 * (min(s, z) / max(s, z) if s and z else 0)) * 1e6 + 0.5) / 1e6 if a & b else 0
+
+    for least in (0.7, 0.699310):
+        rows_ = [x for x in recs if x[0]]
+        want = sorted((x[0], y[0], score(x, y)) for x in rows_ for y in rows_ if x[0] < y[0] and score(x, y) >= least)
+        pairs = C.similar_pairs(df, "id", "t", "s", least)
+        assert sorted(map(tuple, pairs.collect())) == want
+        assert rows(C.similar_nearest(df, "id", "t", "s", least)) == rows(C.nearest(pairs))
+        assert rows(C.similar_clusters(df, "id", "t", "s", least), "id", "component", "links") == rows(C.clusters(pairs), "id", "component", "links")
+    assert ("half1", "half2", 0.708438) in want and ("up1", "up2", 0.69931) in want
+
+
+def test_many_similar_records(spark):
+    df = spark.range(4000).selectExpr("cast(id as string) as id", "array('a', 'b', concat('c', id % 2)) as t", "10 as s")
+    assert C.similar_nearest(df, "id", "t", "s", 0.9).selectExpr("count(*)", "min(links)", "max(links)", "sum(similarity)").collect()[0] == (4000, 1999, 1999, 4000.0)
+    assert C.similar_clusters(df, "id", "t", "s", 0.9).groupBy("component").count().orderBy("component").collect() == [("0", 2000), ("1", 2000)]

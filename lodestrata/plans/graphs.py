@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
@@ -454,16 +454,19 @@ _WAYS = (
 )
 
 
-def gateways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, gateway of the symbols that are ways in, by decorator, file or name."""
-    rows = table(spark, sf_dir, "symbols").select("id", "name", "file", "kind", F.array_join("decorators", " ").alias("d")).distinct()
+def _gateway() -> Column:
+    """What kind of way in a symbol is, by decorator, file or name; null for others."""
     out = None
     for kind, pattern in GATEWAYS:
-        test = F.col("d").rlike("(?i)" + pattern)
+        test = F.array_join("decorators", " ").rlike("(?i)" + pattern)
         out = F.when(test, kind) if out is None else out.when(test, kind)
     low = F.lower("kind")
-    out = out.when(F.col("file").rlike(r"(^|/)(__main__|manage|wsgi|asgi|app|main|run|cli)[.]py$") & low.isin("function", "class"), "main").when(F.col("name").startswith("test_") & (low == "function"), "test")
-    return rows.select("id", out.alias("gateway")).where("gateway is not null").distinct()
+    return out.when(F.col("file").rlike(r"(^|/)(__main__|manage|wsgi|asgi|app|main|run|cli)[.]py$") & low.isin("function", "class"), "main").when(F.col("name").startswith("test_") & (low == "function"), "test")
+
+
+def gateways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, gateway of the symbols that are ways in, by decorator, file or name."""
+    return table(spark, sf_dir, "symbols").select("id", _gateway().alias("gateway")).where("gateway is not null").distinct()
 
 
 @REGISTRY.query("gateways", f"WITH {_WAYS} SELECT DISTINCT id, gateway FROM gw WHERE gateway IS NOT NULL")
@@ -494,12 +497,19 @@ SELECT seed, class, min(level)::INTEGER AS level FROM w GROUP BY ALL""",
 )
 def signal_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every way in calls, directly or through others, up to five calls on, as classes of names (`name_members`)."""
-    ways = gateways(spark, sf_dir).select(F.concat(F.lit(WAY), "id").alias("src"), "id")
-    first = Cuts(spark).cut(ways.join(_class_calls(spark, sf_dir), "id").select("src", "dst"))
-    between = class_edges(spark, sf_dir)
-    found = G.bfs(first.unionByName(between), first.select(F.col("src").alias("id")), 5).where("level > 0")
-    return found.select(F.substring("seed", len(WAY) + 1, 2**31 - 1).alias("seed"), F.col("id").alias("class"), "level")
-
-
-#: what the nodes of ways in begin with, as they are no class of their name
-WAY = "way:"
+    cuts = Cuts(spark)
+    rows = table(spark, sf_dir, "symbols").where("id is not null").select("id", "name", "file", "call_references", _gateway().isNotNull().alias("way"))
+    # ids are long and met often, so they are numbered in their order; the smallest number of a name is its class
+    rows = rows.withColumn("repo", F.substring_index("file", "/", 1)).drop("file").orderBy("id").withColumn("at", F.monotonically_increasing_id())
+    rows = cuts.cut(rows.withColumn("r", F.min("at").over(Window.partitionBy("id"))).select("id", "at", "r", "repo", "name", "call_references", "way"))
+    classes = cuts.cut(rows.where("name is not null and repo is not null").groupBy("repo", "name").agg(F.min("r").alias("class")))
+    calls = rows.select("r", "repo", F.explode("call_references").alias("name")).where("name is not null").join(classes, ["repo", "name"])
+    calls = cuts.cut(calls.select("r", F.col("class").alias("dst")).distinct())
+    members = rows.select("r", "repo", "name").join(classes, ["repo", "name"]).select("r", F.col("class").alias("src")).distinct()
+    between = calls.join(members, "r").select("src", "dst").distinct()
+    # ways in are nodes below zero, as they are no class of their name
+    first = cuts.cut(calls.join(rows.where("way").select("r").distinct(), "r").select((-1 - F.col("r")).alias("src"), "dst"))
+    found = cuts.cut(G.bfs(first.unionByName(between), first.select(F.col("src").alias("id")), 5).where("level > 0"))
+    names = rows.where("r = at")
+    seeds, ends = names.select((-1 - F.col("r")).alias("seed"), F.col("id").alias("seed_id")), names.select("r", F.col("id").alias("class"))
+    return found.join(ends, found["id"] == ends["r"]).select("seed", "class", "level").join(seeds, "seed").select(F.col("seed_id").alias("seed"), "class", "level")

@@ -59,3 +59,19 @@ def test_class_hierarchy_has_no_depth_and_walks_both_ways(spark, tmp_path):
     got = {(r["seed"], r["id"]): (r["level"], r["external"]) for r in graphs.class_hierarchy(spark, sf).collect()}
     want = {f"r/a.py::C{i}": (i, False) for i in range(9)} | {"r/a.py::D": (1, False), "r/a.py::E": (9, False), "r/a.py::Root": (-1, False), "external:r::Missing": (-1, True)}
     assert got == {("r/a.py::C0", k): v for k, v in want.items()}
+
+
+def test_signal_chains_walk_over_numbers(spark, tmp_path, monkeypatch):
+    from lodestrata.plans import graphs
+
+    shape = "id string, file string, name string, kind string, decorators array<string>, call_references array<string>"
+    rows = [
+        ("z", "r/main.py", "start", "function", [], ["f", "start", "none"]), ("z", "r/main.py", "start", "function", [], ["f", "start", "none"]), ("f2", "r/a.py", "f", "function", None, ["g"]), ("f1", "r/b.py", "f", "method", None, None),
+        ("g", "r/a.py", "g", "function", ["@task"], ["f", "f"]), ("other", "q/a.py", "f", "function", ["@task"], ["g"]), (None, "r/a.py", "g", "function", ["@task"], ["f"]), ("n", None, "f", "function", ["@task"], ["f"]),
+    ]
+    spark.createDataFrame(rows, shape).write.parquet(f"{tmp_path}/symbols.parquet")
+    kinds, bfs = [], graphs.G.bfs
+    monkeypatch.setattr(graphs.G, "bfs", lambda edges, *rest: kinds.append(edges.schema["src"].dataType.simpleString()) or bfs(edges, *rest))
+    got = sorted(map(tuple, graphs.signal_chains(spark, str(tmp_path)).select("seed", "class", "level").collect()))
+    assert kinds == ["bigint"]  # ids as they are filled the disk
+    assert got == [("g", "f1", 1), ("g", "g", 2), ("z", "f1", 1), ("z", "g", 2), ("z", "z", 1)]

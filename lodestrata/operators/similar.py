@@ -2,7 +2,7 @@
 
 Pairs above the threshold are edges of a graph, and its components are the clusters. No term is left out
 for being common: the threshold itself says how many terms two sets must share, so some of the rarest
-terms of either are shared, and only records that share up to three of those are compared.
+terms of either are shared, and only records that share three or more of those, or all they must, are compared.
 
 A term's records come together once, in a bucket of terms; there the pairs are found in arrays. Who only wants
 counts, the nearest or the clusters has these put together bucket by bucket, so the pairs themselves, which grow with the square of
@@ -26,10 +26,10 @@ from .ranking import numbered
 
 #: similarities are whole numbers of this part
 UNIT = 1e6
-#: how many shared terms records meet by at most, and how many such choices of terms a record may make
-TERMS, CHOICES = 3, 512
+#: how many shared terms records meet by, more where that leaves over so many pairs a choice; how many choices of terms a record may make
+TERMS, MANY, CHOICES = 3, 3, 512
 #: rows of a bucket, pairs looked at together
-BUCKET, CHUNK = 100_000, 1 << 18
+BUCKET, CHUNK = 20_000, 1 << 17
 
 
 def _need(share: float) -> int:
@@ -97,31 +97,35 @@ def _found(table: pa.Table, j: float, threshold: float) -> Iterator[tuple[np.nda
     for m in by:
         for n in (n for n in by if _need(j * m) <= n <= m):
             shared = min(n, _need(j / (1 + j) * (n + m)))
+            least = (low - 0.7 * n / m) / 0.3 * (1 - 1e-9)
             k = min(TERMS, shared)
             while k > 1 and math.comb(m - shared + k, k) > CHOICES:
                 k -= 1
-            key2, b, q = _choices(sets[m], place[by[m]], by[m], shared, k)
-            key, a, p = (key2, b, q) if n == m else _choices(sets[n], place[by[n]], by[n], shared, k)
-            if not len(key) or not len(key2):
-                continue
-            # keys as ranks with the rank of the size, so that a range of both is one range
-            known, rank2 = np.unique(key2, return_inverse=True)
-            both2 = rank2 * len(sizes) + level[b]
-            order = np.argsort(both2, kind="stable")
-            both2, b, q = both2[order], b[order], q[order]
-            least = (low - 0.7 * n / m) / 0.3 * (1 - 1e-9)
-            if n == m:
-                base, a, p = both2 - level[b], b, q
-                start = np.arange(1, len(b) + 1)
-            else:
-                rank = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                hit = known[rank] == key
-                base, a, p = rank[hit] * len(sizes), a[hit], p[hit]
-                start = np.searchsorted(both2, base + (np.searchsorted(sizes, s[a] * least) if least > 0 else 0))
-            most = np.searchsorted(sizes, s[a] / least, "right") if least > 0 else len(sizes)
-            count = np.maximum(np.searchsorted(both2, base + most) - start, 0)
-            ends = np.cumsum(count)
-            total = int(ends[-1]) if len(ends) else 0
+            while True:
+                key2, b, q = _choices(sets[m], place[by[m]], by[m], shared, k)
+                key, a, p = (key2, b, q) if n == m else _choices(sets[n], place[by[n]], by[n], shared, k)
+                # keys as ranks with the rank of the size, so that a range of both is one range
+                known, rank2 = np.unique(key2, return_inverse=True)
+                both2 = rank2 * len(sizes) + level[b]
+                order = np.argsort(both2, kind="stable")
+                both2, b, q = both2[order], b[order], q[order]
+                if n == m:
+                    base, a, p = both2 - level[b], b, q
+                    start = np.arange(1, len(b) + 1)
+                elif len(known):
+                    rank = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    hit = known[rank] == key
+                    base, a, p = rank[hit] * len(sizes), a[hit], p[hit]
+                    start = np.searchsorted(both2, base + (np.searchsorted(sizes, s[a] * least) if least > 0 else 0))
+                else:
+                    base = start = a = a[:0]
+                most = np.searchsorted(sizes, s[a] / least, "right") if least > 0 else len(sizes)
+                count = np.maximum(np.searchsorted(both2, base + most) - start, 0)
+                ends = np.cumsum(count)
+                total = int(ends[-1]) if len(ends) else 0
+                if total <= MANY * (len(key) + len(key2)) or k == shared or math.comb(m - shared + k + 1, k + 1) > CHOICES:
+                    break
+                k += 1  # terms that mostly stand together tell little
             for at in range(0, total, CHUNK):
                 nth = np.arange(at, min(at + CHUNK, total))
                 left = np.searchsorted(ends, nth, "right")
